@@ -163,3 +163,27 @@ def cover(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     np.add.at(step, starts, 1)
     np.add.at(step, ends, -1)
     return np.cumsum(step[:-1]) > 0
+
+
+def between(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Flags of n positions inside spans that are in order and don't overlap."""
+    step = np.zeros(n + 1, dtype=np.int8)
+    step[starts] += 1
+    step[ends] -= 1
+    return np.cumsum(step[:-1], dtype=np.int8).view(bool)
+
+
+def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A binary column from its bytes and n + 1 offsets."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def join_words(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The given words of each row, joined by one space."""
+    row = np.searchsorted(offsets, starts, side="right")
+    more = np.append(row[1:] == row[:-1], False) if len(row) else np.zeros(0, bool)
+    data = data.copy()
+    data[ends[more]] = 0x20
+    kept = between(len(data), starts, ends + more)
+    total = np.concatenate([[0], np.cumsum(kept)])
+    return binary_array(data[kept], total[offsets])

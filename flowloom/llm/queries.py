@@ -25,6 +25,14 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.predict(docs.select("doc_id", "held_out", "text")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowloom.llm.passages import dedup_passages
+
+    done = dedup_passages(_read(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
+    return done.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
