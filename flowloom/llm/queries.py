@@ -25,6 +25,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowloom.llm.pii import pseudonymise
+
+    return pseudonymise(_read(spark, sf_dir, "documents"), "example key: give your own").select("doc_id", "text", "n_replaced")
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowloom.llm.decontaminate import decontaminate, items_digest
 
