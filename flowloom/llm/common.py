@@ -8,7 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on; temporaries are some 20 times as large.
 CHUNK_BYTES = 2 << 20
@@ -55,6 +56,36 @@ def drop_staged(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Bits of a member filter: 8 MB however many members there are.
+FILTER_BITS = 1 << 26
+_PAGE = 1 << 15
+
+
+def with_members(df: DataFrame, hashed: Column, members: DataFrame, member: Column) -> DataFrame:
+    """The rows of ``df`` whose 64-bit ``hashed`` may be among ``members``; all that are, and few others.
+
+    A bitmap of fixed size, made of the members in pages and broadcast, drops
+    rows before a shuffle.  Once members far outnumber its bits it drops none.
+    """
+    return _member_test(df, hashed, members, member, True)
+
+
+def without_members(df: DataFrame, hashed: Column, members: DataFrame, member: Column) -> DataFrame:
+    """The other rows of ``with_members``."""
+    return _member_test(df, hashed, members, member, False)
+
+
+def _member_test(df: DataFrame, hashed: Column, members: DataFrame, member: Column, keep: bool) -> DataFrame:
+    at = F.pmod(member, F.lit(FILTER_BITS))
+    pages = members.select(at.alias("at")).groupBy(F.floor(F.col("at") / _PAGE).alias("__page")).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(_PAGE))).alias("__bits"))
+    names = [F.col(f"`{c}`") for c in df.columns]
+    at = F.pmod(hashed, F.lit(FILTER_BITS))
+    marked = df.withColumn("__at", at).join(F.broadcast(pages), F.floor(F.col("__at") / _PAGE) == F.col("__page"), "left")
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(F.pmod("__at", F.lit(_PAGE)) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, F.pmod("__at", F.lit(8)).cast("int")) == 1, F.lit(False))
+    return marked.where(found if keep else ~found).select(*names)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` (string or binary) has about ``limit`` bytes in each.
 

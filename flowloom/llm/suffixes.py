@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import Rolling, binary_array, chunks, cover, partitions, runs, stage, text_bytes
+from flowloom.llm.common import Rolling, binary_array, chunks, cover, partitions, runs, stage, text_bytes, with_members, without_members
 
 #: Bytes of the strings whose smallest hash a window belongs to.
 ANCHOR = 48
@@ -81,14 +81,14 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, rolling: Rollin
 
 
 def rank_levels(data: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
-    """(m, rank of each position by its next m bytes) for m = 8, 16, ... and at last ``depth``; bytes beyond the end are smallest."""
+    """(m, rank of each position by its next m bytes) for m = 7, 14, ... and at last ``depth``; bytes beyond the end are smallest."""
     n = len(data)
     padded = np.concatenate([data.astype(np.uint16) + 1, np.zeros(depth + 8, np.uint16)])
     width, step = 1, padded.astype(np.int64)
     out = []
-    while width < min(4, depth):  # four bytes of 9 bits in a word
-        step = (step[:-width] << np.int64(9 * width)) | step[width:]
-        width *= 2
+    while width < min(7, depth):  # seven bytes of 9 bits in a word
+        step = (step[:-1] << np.int64(9)) | padded[width : width + len(step) - 1]
+        width += 1
     rank = np.unique(step, return_inverse=True)[1].astype(np.int64)
     out.append((width, rank[:n].astype(np.int32)))
     while width < depth:
@@ -192,10 +192,13 @@ def dedup_suffixes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     segs = stage(keyed.mapInArrow(keys, _SEGS))
     kinds = segs.groupBy(*kind).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "uid", "first")).alias("one"), F.first("windows").alias("windows"), F.first("again").alias("again"))
     groups = kinds.groupBy("low").agg(F.count(F.lit(1)).alias("kinds"), F.max("again").alias("any_again")).where("kinds > 1 or any_again")
+    # kinds that may match another or themselves, and those that occur more than once; few beside all segments
+    shared = stage(with_members(kinds, F.col("low"), groups, F.col("low")).join(groups, "low").select(*kind, "one", F.col("one.uid").alias("uid"), F.col("windows").alias("size"), F.ceil(F.col("kinds") / TILE).cast("int").alias("tiles")))
+    whole = kinds.where("n > 1").select(*kind, F.lit(0).cast("long").alias("from"), F.col("windows").alias("to"), "one")
 
-    # the bytes of one segment of each kind that may match another or itself; a large group goes to every pair of its tiles
-    want = kinds.join(groups, "low").select(*kind, "one", F.col("one.uid").alias("uid"), F.col("windows").alias("size"), F.ceil(F.col("kinds") / TILE).cast("int").alias("tiles"))
-    fetched = want.join(keyed.select("uid", "data"), "uid").withColumn("data", F.substring("data", (F.col("one.first") + 1).cast("int"), (F.col("size") + length - 1).cast("int")))
+    # the bytes of one segment of each kind; a large group goes to every pair of its tiles
+    texts = with_members(keyed.select("uid", "data"), F.col("uid"), shared, F.col("uid"))
+    fetched = shared.join(texts, "uid").withColumn("data", F.substring("data", (F.col("one.first") + 1).cast("int"), (F.col("size") + length - 1).cast("int")))
     tile = F.pmod("c1", F.col("tiles")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.least(t, tile).cast("long") * (1 << 31) + F.greatest(t, tile))
     dealt = fetched.select(*kind, "one", "data", F.explode(pairs).alias("pair")).withColumn("part", F.pmod(F.xxhash64("low", "pair"), F.lit(parts)).cast("int"))
@@ -234,13 +237,15 @@ def dedup_suffixes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     found = dealt.repartitionById(parts, "part").sortWithinPartitions("low", "pair").mapInArrow(sorted_out, "low long, c1 long, c2 long, earlier boolean, `from` long, `to` long")
     if keep_first:
         found = found.where("earlier")
-    whole = kinds.where("n > 1").select(*kind, F.lit(0).cast("long").alias("from"), F.col("windows").alias("to"), "one")
-    marks = whole.unionByName(found.select(*kind, "from", "to", F.lit(None).cast(kinds.schema["one"].dataType).alias("one")))
-    hits = segs.join(marks, kind)
+    marks = stage(whole.unionByName(found.select(*kind, "from", "to", F.lit(None).cast(kinds.schema["one"].dataType).alias("one"))))
+    hits = with_members(segs, F.col("c1"), marks, F.col("c1")).join(marks, kind)
     if keep_first:
         hits = hits.where(F.col("one").isNull() | ~F.struct("doc_id", "uid", "first").eqNullSafe(F.col("one")))
-    spans = hits.groupBy("uid").agg(F.collect_list(F.struct((F.col("first") + F.col("from")).alias("from"), (F.col("first") + F.col("to") + length - 1).alias("to"))).alias("spans"))
-    return keyed.join(spans, "uid", "left").select("doc_id", "data", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<`from`:long,`to`:long>>, kept binary")
+    spans = stage(hits.groupBy("uid").agg(F.collect_list(F.struct((F.col("first") + F.col("from")).alias("from"), (F.col("first") + F.col("to") + length - 1).alias("to"))).alias("spans")))
+    uid = F.col("uid")
+    cut = with_members(keyed, uid, spans, uid).join(spans, "uid", "left").select("doc_id", "data", "spans")
+    left = without_members(keyed, uid, spans, uid).select("doc_id", "data", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    return cut.unionByName(left).mapInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<`from`:long,`to`:long>>, kept binary")
 
 
 def _cut(batches):
