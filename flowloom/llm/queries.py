@@ -62,6 +62,14 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowloom.llm.common import stage
+    from flowloom.llm.hamming import sign_codes, top_k
+
+    codes = stage(sign_codes(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
+    return top_k(codes, codes.where("id % 100 = 0"))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowloom.llm.suffixes import dedup_suffixes
 
