@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import SPACE, chunks, drop_staged, join_words, lower_ascii, partitions, stage, text_bytes, word_spans
+from flowloom.llm.common import SPACE, chunks, drop_staged, join_words, lower_ascii, mix64, partitions, stage, text_bytes, with_members, word_spans
 
 SEED = 42
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -83,8 +83,8 @@ def xxh64_spans(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: i
     return out
 
 
-def fingerprints(column: pa.Array, shingle: int = 3) -> np.ndarray:
-    """SimHash of each text: a bit is set if it is in over half of the hashes of its shingles of words."""
+def shingle_hashes(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """XXH64 of each row's shingles of words, their number in each row, and the joined words (bytes and offsets)."""
     data, offsets = text_bytes(column)
     data = lower_ascii(data)
     starts, ends, before = word_spans(data, offsets, SPACE)
@@ -95,7 +95,11 @@ def fingerprints(column: pa.Array, shingle: int = 3) -> np.ndarray:
     count = np.where(words > 0, np.maximum(words - shingle + 1, 1), 0)
     first = np.repeat(before[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
     last = np.minimum(first + shingle - 1, np.repeat(before[1:], count) - 1)
-    h = xxh64_spans(flat, starts[first], ends[last] - starts[first])
+    return xxh64_spans(flat, starts[first], ends[last] - starts[first]), count, (flat, offsets)
+
+
+def majority(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Of each row's hashes, a word with the bits that are set in over half of them; no hashes: zero."""
     out = np.zeros(len(count), np.uint64)
     rows = np.flatnonzero(count)
     sums = np.zeros((len(count), 64), np.int32)
@@ -110,6 +114,12 @@ def fingerprints(column: pa.Array, shingle: int = 3) -> np.ndarray:
     return out
 
 
+def fingerprints(column: pa.Array, shingle: int = 3) -> np.ndarray:
+    """64-bit SimHash of each text."""
+    h, count, _ = shingle_hashes(column, shingle)
+    return majority(h, count)
+
+
 def quarters(x: np.ndarray) -> np.ndarray:
     """Set bits in each 16-bit quarter."""
     return np.bitwise_count(x.view(np.uint16).reshape(-1, 4)).astype(np.int16)
@@ -150,18 +160,21 @@ class Forest:
                 self.edges.append((a, b))
 
 
-def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within ``a`` (b None) or between ``a`` and ``b``: pairs of fingerprints."""
+def close_pairs(a: np.ndarray, b: np.ndarray | None, radius: int):
+    """Blocks (i, j, distance) of the pairs within the radius, inside ``a`` (b None; i below j) or between ``a`` and ``b``.
+
+    Both have a row of 64-bit words for each fingerprint.  A small radius skips
+    blocks by the set bits of each quarter of a word, a larger one by all set bits.
+    """
     own = b is None
-    order = lambda x: x[np.lexsort(quarters(x).T)]
-    a = order(a)
-    b = a if own else order(b)
-    qa, qb = quarters(a), quarters(b)
+    b = a if own else b
+    counts = lambda x: quarters(x).reshape(len(x), -1) if radius <= 8 else np.bitwise_count(x).sum(axis=1, dtype=np.int16)[:, None]
+    qa, qb = counts(a), counts(b)
+    order_a, order_b = np.lexsort(qa.T), np.lexsort(qb.T)
+    qa, qb, xa, xb = qa[order_a], qb[order_b], a[order_a], b[order_b]
     new = lambda q: np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]).any(axis=1)])) if len(q) else np.zeros(0, int)
     sa, sb = new(qa), new(qb)
-    ea, eb = np.append(sa[1:], len(a)), np.append(sb[1:], len(b))
-    forest = Forest(len(a) + (0 if own else len(b)))
-    shift = 0 if own else len(a)
+    ea, eb = np.append(sa[1:], len(xa)), np.append(sb[1:], len(xb))
     for s, e in zip(sa, ea, strict=True):
         near = np.flatnonzero(np.abs(qb[sb] - qa[s]).sum(axis=1) <= radius)
         if own:
@@ -170,70 +183,114 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.nda
             continue
         sizes = eb[near] - sb[near]
         others = np.repeat(sb[near] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        theirs = xb[others]
         step = max(1, _AT_ONCE // len(others))
         for at in range(s, e, step):
             mine = np.arange(at, min(e, at + step))
-            i, j = np.nonzero(np.bitwise_count(a[mine][:, None] ^ b[others][None, :]) <= radius)
+            d = np.zeros((len(mine), len(others)), np.uint8)
+            for w in range(a.shape[1]):
+                d += np.bitwise_count(xa[mine, w][:, None] ^ theirs[None, :, w])
+            i, j = np.nonzero(d <= radius)
+            d = d[i, j]
             i, j = mine[i], others[j]
             if own:
-                i, j = i[i < j], j[i < j]
+                below = i < j
+                i, j, d = i[below], j[below], d[below]
             if len(i):
-                forest.join(i, j + shift)
-    both = a if own else np.concatenate([a, b])
-    pairs = np.array(forest.edges, dtype=np.int64).reshape(-1, 2)
-    return both[pairs[:, 0]], both[pairs[:, 1]]
-
-
-def links(prints: DataFrame, radius: int) -> DataFrame:
-    """Edges (a, b) of a spanning forest for each pair of tiles of the different values of ``fp``."""
+                yield order_a[i], order_b[j], d
+
+
+def tile_forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within a tile or between two, by least distance: indexes into ``a`` then ``b``."""
+    n = len(a) + (0 if b is None else len(b))
+    kept = np.zeros((3, 0), np.int64)
+    for i, j, d in close_pairs(a, b, radius):
+        new = np.stack([i, j + (0 if b is None else len(a)), d]).astype(np.int64)
+        kept = np.concatenate([kept, new], axis=1)
+        forest, edges = Forest(n), []
+        for level in np.unique(kept[2]):
+            before = len(forest.edges)
+            at = kept[:2, kept[2] == level]
+            forest.join(at[0], at[1])
+            edges += [(x, y, int(level)) for x, y in forest.edges[before:]]
+        kept = np.array(edges, dtype=np.int64).reshape(-1, 3).T
+    return kept[0], kept[1]
+
+
+def links(prints: DataFrame, radius: int, words: list[str], apart: str | None = None) -> DataFrame:
+    """Edges (a, b) between values of ``node``, whose fingerprints are the columns ``words``.
+
+    They are a spanning forest for each pair of tiles; with ``apart``, all
+    pairs that differ in that column.
+    """
     spark = prints.sparkSession
     parts = partitions(spark)
-    counted = prints.select("fp", F.bit_count("fp").alias("pop"))
-    blocks = {r["pop"]: -(-r["count"] // TILE) for r in counted.groupBy("pop").count().collect()}  # 65 rows at most
-    pops = sorted(blocks)
-    # of two tiles the lower number is (set bits, block) of one; a pair of tiles is named by both
-    number, n = {}, 0
-    for p in pops:
-        for k in range(blocks[p]):
-            number[p, k] = n
-            n += 1
-    names = {}
-    for p in pops:
-        names[p] = [number[q, k] for q in pops if abs(p - q) <= radius for k in range(blocks[q])]
-    first = F.create_map(*(x for p in pops for x in (F.lit(p), F.lit(number[p, 0])))) if pops else F.lit(None)
-    size = F.create_map(*(x for p in pops for x in (F.lit(p), F.lit(blocks[p])))) if pops else F.lit(None)
-    if not pops:
-        return prints.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
-    near = F.create_map(*(x for p in pops for x in (F.lit(p), F.sequence(F.lit(min(names[p])), F.lit(max(names[p]))))))
-    own = first[F.col("pop")] + F.pmod(F.xxhash64("fp"), size[F.col("pop")]).cast("int")
-    dealt = counted.select("fp", own.alias("own"), F.explode(near[F.col("pop")]).alias("other"))
-    dealt = dealt.select("fp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("second"))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("x", "y"), F.lit(parts)).cast("int"))
+    pop = sum((F.bit_count(w) for w in words[1:]), F.bit_count(words[0]))
+    counted = prints.withColumn("pop", pop)
+    sizes = {r["pop"]: r["count"] for r in counted.groupBy("pop").count().collect()}  # 64 rows for each word, and one
+    if not sizes:
+        return prints.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
+    # a tile has a range of counts, or a share of those with one count
+    most = min(TILE, max(1024, -(-sum(sizes.values()) // 16)))
+    first, blocks, tile_pops, held = {}, {}, [], 0
+    for p in sorted(sizes):
+        blocks[p] = -(-sizes[p] // most)
+        if blocks[p] > 1 or held == 0 or held + sizes[p] > most:
+            first[p] = len(tile_pops)
+            tile_pops += [[p, p] for _ in range(blocks[p])]
+            held = sizes[p] if blocks[p] == 1 else 0
+        else:
+            first[p] = len(tile_pops) - 1
+            tile_pops[-1][1] = p
+            held += sizes[p]
+    near = [[t for t, (lo, hi) in enumerate(tile_pops) if lo - y <= radius and x - hi <= radius] for x, y in tile_pops]
+    lookup = lambda values: F.array(*(F.lit(v) for v in values))
+    by_pop = lambda values: F.get(lookup([values.get(p, 0) for p in range(64 * len(words) + 1)]), F.col("pop"))
+    own = by_pop(first) + F.pmod(F.xxhash64("node"), by_pop(blocks)).cast("int")
+    others = F.explode(F.sequence(F.get(lookup([n[0] for n in near]), F.col("own")), F.get(lookup([n[-1] for n in near]), F.col("own"))))
+    more = [apart] if apart else []
+    dealt = counted.withColumn("own", own).select("node", *words, *more, "own", others.alias("other"))
+    dealt = dealt.select("node", *words, *more, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("second"))
+    dealt = dealt.withColumn("__task", F.pmod(F.xxhash64("x", "y"), F.lit(parts)).cast("int"))
 
     def compare(batches):
-        def done():
-            one, two = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in sides)
-            a, b = tile_links(one.view(np.uint64), None if last[0] == last[1] else two.view(np.uint64), radius)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-        sides: tuple[list, list] = ([], [])
-        last = None
-        for batch in batches:
-            x, y = batch.column("x").to_numpy(), batch.column("y").to_numpy()
-            fp, second = batch.column("fp").to_numpy(), batch.column("second").to_numpy(zero_copy_only=False)
-            bounds = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]), [True]]))
-            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-                key = int(x[s]), int(y[s])
-                if last is not None and key != last:
-                    yield done()
-                    sides = ([], [])
-                last = key
-                for side, flag in ((sides[0], ~second[s:e]), (sides[1], second[s:e])):
-                    side.append(fp[s:e][flag])
-        if last is not None:
-            yield done()
-
-    return dealt.repartitionById(parts, "part").sortWithinPartitions("x", "y").select("fp", "x", "y", "second").mapInArrow(compare, "a long, b long")
+        def done(key, sides):
+            tables = [np.concatenate(side) if side else np.zeros((0, 1 + len(words) + len(more)), np.int64) for side in sides]
+            a, b = (t[:, 1 : 1 + len(words)].view(np.uint64) for t in tables)
+            b = None if key[0] == key[1] else b
+            ids = np.concatenate([t[:, 0] for t in tables])
+            if not apart:
+                yield tuple(ids[x] for x in tile_forest(a, b, radius))
+                return
+            label = np.concatenate([t[:, -1] for t in tables])
+            for i, j, _ in close_pairs(a, b, radius):
+                j = j + (0 if b is None else len(a))
+                differ = label[i] != label[j]
+                yield ids[i[differ]], ids[j[differ]]
+
+        def all_done():
+            sides: tuple[list, list] = ([], [])
+            last = None
+            for batch in batches:
+                x, y = batch.column("x").to_numpy(), batch.column("y").to_numpy()
+                rows = np.stack([batch.column(c).to_numpy() for c in ("node", *words, *more)], axis=1)
+                second = batch.column("second").to_numpy(zero_copy_only=False)
+                bounds = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]), [True]]))
+                for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+                    key = int(x[s]), int(y[s])
+                    if last is not None and key != last:
+                        yield from done(last, sides)
+                        sides = ([], [])
+                    last = key
+                    for side, flag in ((sides[0], ~second[s:e]), (sides[1], second[s:e])):
+                        side.append(rows[s:e][flag])
+            if last is not None:
+                yield from done(last, sides)
+
+        for a, b in all_done():
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return dealt.repartitionById(parts, "__task").sortWithinPartitions("x", "y").drop("__task").mapInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -273,8 +330,76 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     body = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     prints = stage(body.mapInArrow(hashed, "doc_id long, fp long"))
     classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    joined = components(links(classes, radius))
-    # a component's name is its smallest document, not its smallest fingerprint
-    named = classes.join(joined, classes["fp"] == joined["node"], "left").select("fp", "first", F.coalesce("least", "fp").alias("root"))
-    roots = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(named.join(roots, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    joined = components(links(classes.select(F.col("fp").alias("node"), "fp"), radius, ["fp"]))
+    return _named(prints, classes.withColumnRenamed("fp", "node"), joined, "fp").select("doc_id", "fp", "component_id")
+
+
+def _named(prints: DataFrame, classes: DataFrame, joined: DataFrame, node: str) -> DataFrame:
+    """``prints`` with component_id: the smallest document of a component, whatever its nodes are called."""
+    rooted = classes.join(joined, "node", "left").select("node", "first", F.coalesce("least", "node").alias("root"))
+    roots = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return prints.join(rooted.join(roots, "root").select(F.col("node").alias(node), "component_id"), node)
+
+
+def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 28) -> DataFrame:
+    """Per document: doc_id and component_id, by links of Jaccard ``similarity`` or more over sets of word shingles.
+
+    Fingerprints of 128 bits, compared in tiles, propose pairs: at a similarity
+    of 0.8 they differ in 19 bits on average and in 28 or fewer in 98 of 100
+    cases, which among unrelated texts happens once in ten thousand million pairs.  The
+    shingles of each proposed pair are then compared.  First a spanning forest
+    by least distance is proposed.  Where an edge of it is refuted, all other
+    pairs between the parts of its group are proposed, so no proposed pair is lost.
+    """
+
+    def hashed(batches):
+        for batch in chunks(batches, "text"):
+            h, count, (flat, offsets) = shingle_hashes(batch.column("text"), shingle)
+            raw = memoryview(np.ascontiguousarray(flat))
+            content = np.array([xxhash.xxh3_64_intdigest(raw[s:e]) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], dtype=np.uint64)
+            fps = [majority(h, count), majority(mix64(h ^ np.uint64(0x9E3779B97F4A7C15)), count)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), *(pa.array(x.view(np.int64)) for x in (content, *fps))], names=["doc_id", "uid", "content", "f0", "f1"])
+
+    body = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
+    prints = stage(body.mapInArrow(hashed, "doc_id long, uid long, content long, f0 long, f1 long"))
+    # texts with the same words in the same order are one node
+    nodes = stage(prints.groupBy(F.col("content").alias("node")).agg(F.min("doc_id").alias("first"), F.min("uid").alias("uid"), F.first("f0").alias("f0"), F.first("f1").alias("f1")))
+
+    def compared(batches):
+        for batch in chunks(batches, "x"):
+            same = []
+            for column in ("x", "y"):
+                h, count, _ = shingle_hashes(batch.column(column), shingle)
+                same.append(np.split(h, np.cumsum(count)[:-1]))
+            ok = []
+            for x, y in zip(*same, strict=True):
+                x, y = np.unique(x), np.unique(y)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        named = nodes.select("node", "uid")
+        pairs = pairs.join(named.select(F.col("node").alias("a"), F.col("uid").alias("ua")), "a").join(named.select(F.col("node").alias("b"), F.col("uid").alias("ub")), "b")
+        pairs = stage(pairs)
+        uid = F.col("uid")
+        wanted = pairs.select(F.explode(F.array("ua", "ub")).alias("uid"))
+        texts = with_members(body.select("uid", "text"), uid, wanted, uid)
+        both = pairs.join(texts.select(F.col("uid").alias("ua"), F.col("text").alias("x")), "ua").join(texts.select(F.col("uid").alias("ub"), F.col("text").alias("y")), "ub")
+        return stage(both.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long, ok boolean"))
+
+    words = ["f0", "f1"]
+    proposed = verify(stage(links(nodes, radius, words).distinct()))
+    good, bad = proposed.where("ok").select("a", "b"), proposed.where("not ok").select("a", "b")
+    joined = components(good)
+    if not bad.isEmpty():
+        # parts of a group that a refuted edge was to join
+        groups = components(proposed.select("a", "b"))
+        name = lambda c: F.coalesce("least", c)
+        torn = bad.join(groups, bad["a"] == groups["node"], "left").select(name("a").alias("group")).distinct()
+        inside = groups.select("node", F.col("least").alias("group")).unionByName(groups.select(F.col("least").alias("node"), F.col("least").alias("group"))).distinct()
+        open_nodes = stage(nodes.join(inside.join(torn, "group", "left_semi").select("node"), "node", "left_semi").join(joined, "node", "left").select("node", *words, F.coalesce("least", "node").alias("part")))
+        ordered = lambda d: d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more = ordered(links(open_nodes, radius, words, apart="part")).distinct().join(ordered(bad), ["a", "b"], "left_anti")
+        joined = components(good.unionByName(verify(stage(more)).where("ok").select("a", "b")))
+    return _named(prints, nodes.select("node", "first"), joined, "content").select("doc_id", "component_id")
