@@ -16,6 +16,11 @@ def _col(x: Num) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def cut(data: Column, offset: Num, size: Num) -> Column:
     """``size`` bytes from ``offset``, fewer at the end."""
     return F.substring(data, _col(offset + 1), _col(size))
@@ -81,13 +86,17 @@ def mac(data: Column, offset: Num) -> Column:
 
 def ipv6(data: Column, offset: Num) -> Column:
     """Canonical text: groups without leading zeros, the first longest run of two or more zero groups as ``::``."""
-    groups = F.concat_ws(":", *(F.lower(F.conv(F.hex(cut(data, offset + 2 * k, 2)), 16, 16)) for k in range(8)))
-    # runs of zero groups, longest first; the earliest of equal ones is found first
-    out = groups
-    for n in range(2, 9):
-        run = ":".join(["0"] * n)
-        out = F.when(groups.rlike(rf"(?:^|:){run}(?:$|:)"), F.regexp_replace(F.regexp_replace(groups, rf"^(.*?)(?:^|(?<=:)){run}(?=$|:)(.*)$", "$1|$2"), r":?\|:?", "::")).otherwise(out)
-    return out
+    joined = F.concat_ws(":", *(F.lower(F.conv(F.hex(cut(data, offset + 2 * k, 2)), 16, 16)) for k in range(8)))
+
+    def shorten(groups):
+        # runs of zero groups, longest first; the earliest of equal ones is found first
+        out = groups
+        for n in range(2, 9):
+            run = ":".join(["0"] * n)
+            out = F.when(groups.rlike(rf"(?:^|:){run}(?:$|:)"), F.regexp_replace(F.regexp_replace(groups, rf"^(.*?)(?:^|(?<=:)){run}(?=$|:)(.*)$", "$1|$2"), r":?\|:?", "::")).otherwise(out)
+        return out
+
+    return bind(joined, shorten)
 
 
 def checksum16(data: Column) -> Column:

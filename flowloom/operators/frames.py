@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.functions.bytes import be, bits, checksum16, cut, ipv4, ipv6, length, tlvs
+from flowloom.functions.bytes import be, bind, bits, checksum16, cut, ipv4, ipv6, length, tlvs
 from flowloom.functions.tls import sni
 
 # Link types of capture files, EtherTypes and protocol numbers.
@@ -45,9 +45,10 @@ def parse_ipv4(p: Column) -> Column:
         kind, size = be(options, s["pos"], 1), be(options, s["pos"] + 1, 1)
         done = (s["pos"] >= length(options)) | (kind == 0) | ~s["ok"]
         bad = (s["pos"] + 2 > length(options)) | (size < 2) | (s["pos"] + size > length(options))
-        return F.when(done, s).when(kind == 1, F.struct((s["pos"] + 1).alias("pos"), F.lit(True).alias("ok"))).otherwise(F.struct(F.when(bad, s["pos"]).otherwise(s["pos"] + size).cast("int").alias("pos"), ~bad))
+        pos = F.when(done | bad & (kind != 1), s["pos"]).when(kind == 1, s["pos"] + 1).otherwise(s["pos"] + size)
+        return F.struct(pos.cast("int").alias("pos"), F.when(done, s["ok"]).otherwise((kind == 1) | ~bad).alias("ok"))
 
-    plain = F.aggregate(F.sequence(F.lit(1), F.lit(40)), first, lambda s, i: option(s, i).cast("struct<pos:int,ok:boolean>"), lambda s: s["ok"])
+    plain = F.aggregate(F.sequence(F.lit(1), F.lit(40)), first, option, lambda s: s["ok"])
     ok = (n >= 20) & (bits(be(p, 0, 1), 4, 15) == 4) & (head >= 20) & (head <= n) & (total >= head) & (total <= n) & ((head == 20) | plain)
     bare = F.concat(cut(p, 0, 10), F.lit(b"\x00\x00"), cut(p, 12, head - 12))
     place = be(p, 6, 2)
@@ -77,10 +78,18 @@ def parse_ipv6(p: Column) -> Column:
         fragment = s["next"] == 44
         more = F.when(fragment, 8).otherwise((be(p, at + 1, 1) + 1) * 8)
         fits = at + more <= end
-        step = F.struct(F.when(fits, be(p, at, 1)).otherwise(s["next"]).cast("int").alias("next"), F.when(fits, at + more).otherwise(at).cast("int").alias("pos"), fits.alias("ok"), F.when(fragment, at).otherwise(s["frag"]).cast("int").alias("frag"))
-        return F.when(s["ok"] & s["next"].isin(0, 43, 44, 60), step).otherwise(s).cast("struct<next:int,pos:int,ok:boolean,frag:int>")
+        go = s["ok"] & s["next"].isin(0, 43, 44, 60)
+        return F.struct(
+            F.when(go & fits, be(p, at, 1)).otherwise(s["next"]).cast("int").alias("next"),
+            F.when(go & fits, at + more).otherwise(at).cast("int").alias("pos"),
+            F.when(go, fits).otherwise(s["ok"]).alias("ok"),
+            F.when(go & fragment, at).otherwise(s["frag"]).cast("int").alias("frag"),
+        )
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(8)), first, header)
+    return bind(F.aggregate(F.sequence(F.lit(1), F.lit(8)), first, header), lambda walked: _ipv6_struct(p, n, end, walked))
+
+
+def _ipv6_struct(p: Column, n: Column, end: Column, walked: Column) -> Column:
     ok = (n >= 40) & (bits(be(p, 0, 1), 4, 15) == 6) & (end <= n) & walked["ok"] & ~walked["next"].isin(0, 43, 44, 60)
     place = be(p, walked["frag"] + 2, 2)
     frag = walked["frag"] >= 0
@@ -110,7 +119,11 @@ def parse_tcp(p: Column) -> Column:
     """struct(src_port, dst_port, seq, ack, flags, window, mss, window_scale, sack_permitted, ts_value, ts_echo, sack_blocks, payload); null if malformed."""
     n, head = length(p), bits(be(p, 12, 1), 4, 15) * 4
     ok = (n >= 20) & (head >= 20) & (head <= n)
-    found = tlvs(p, 20, head, kind=1, size=1, whole=True, skip=1, stop=0, limit=40)
+    found = tlvs(p, 20, F.when(ok, head).otherwise(20), kind=1, size=1, whole=True, skip=1, stop=0, limit=40)
+    return bind(found, lambda x: _tcp_struct(p, n, head, ok, x))
+
+
+def _tcp_struct(p: Column, n: Column, head: Column, ok: Column, found: Column) -> Column:
     one = lambda kind, size: F.get(F.filter(found, lambda x: (x["t"] == kind) & (x["n"] == size)), F.lit(0))["at"]
     sack = F.get(F.filter(found, lambda x: (x["t"] == 5) & (x["n"] % 8 == 0) & (x["n"] > 0)), F.lit(0))
     blocks = F.when(sack.isNotNull(), F.transform(F.sequence(F.lit(0), F.least(F.floor(sack["n"] / 8), F.lit(4)).cast("int") - 1), lambda i: F.struct(be(p, sack["at"] + i * 8, 4).alias("left"), be(p, sack["at"] + i * 8 + 4, 4).alias("right"))))
@@ -153,20 +166,30 @@ def transport_checksum_valid(network: Column, version: int, proto: int, segment:
     return F.when(stored == 0, F.lit(None) if version == 4 else F.lit(False)).otherwise(right)
 
 
-def inner_fields(p: Column, prefix: str, *, other: bool = True) -> dict[str, Column]:
-    """Addresses, protocol, port and server name of a packet inside another, as fields with a prefix."""
+def inner_map(p: Column, prefix: str, keys: tuple[str, ...] = ("src_ip", "dst_ip", "protocol", "dst_port", "sni")) -> Column:
+    """Addresses, protocol, port and server name of a packet inside another, as a map of fields with a prefix; empty if it can't be read."""
+    from flowloom.plans.registry import field_map
+
+    def fields(ip: Column, v: Column) -> Column:
+        proto = ip["proto"]
+        port = F.when(proto == 6, be(ip["payload"], 2, 2)).when((proto == 17) & (length(ip["payload"]) >= 8), be(ip["payload"], 2, 2))
+        body = cut(ip["payload"], bits(be(ip["payload"], 12, 1), 4, 15) * 4, length(ip["payload"]))
+        every = {
+            "src_ip": ip["src"],
+            "dst_ip": ip["dst"],
+            "protocol": F.when(proto == 6, "TCP").when(proto == 17, "UDP").when((proto == 58) & (v == 6), "ICMPv6").otherwise("other"),
+            "dst_port": port,
+            "sni": F.when((proto == 6) & (length(ip["payload"]) >= 20), bind(body, sni)),
+        }
+        return field_map({f"{prefix}_{k}": every[k] for k in keys})
+
+    return bind(p, lambda d: bind(parse_ip(d), lambda ip: F.when(ip.isNotNull(), fields(ip, bits(be(d, 0, 1), 4, 15)))))
+
+
+def parse_ip(p: Column) -> Column:
+    """IPv4 or IPv6, by the version."""
     v = bits(be(p, 0, 1), 4, 15)
-    four, six = parse_ipv4(p), parse_ipv6(p)
-    ip = F.when(v == 4, four).when(v == 6, six)
-    tcp, udp = parse_tcp(ip["payload"]), parse_udp(ip["payload"])
-    name = F.when(ip["proto"] == 6, "TCP").when(ip["proto"] == 17, "UDP").when((ip["proto"] == 58) & (v == 6), "ICMPv6").otherwise(F.lit("other") if other else F.lit(None))
-    return {
-        f"{prefix}_src_ip": ip["src"],
-        f"{prefix}_dst_ip": ip["dst"],
-        f"{prefix}_protocol": F.when(ip.isNotNull(), name),
-        f"{prefix}_dst_port": F.when(ip["proto"] == 6, tcp["dst_port"]).when(ip["proto"] == 17, udp["dst_port"]).cast("string"),
-        f"{prefix}_sni": F.when(ip["proto"] == 6, sni(tcp["payload"])),
-    }
+    return F.when(v == 4, parse_ipv4(p)).when(v == 6, parse_ipv6(p))
 
 
 def link_payload(link_type: Column, data: Column) -> Column:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowloom.functions.bytes import as_hex, be, bits, cut, flag, from_item, hexed, ipv4, ipv4_number, length, mac, name_of, number, text, tlvs
-from flowloom.operators.frames import inner_fields, parse_ipv4, parse_ipv6
-from flowloom.plans.registry import dissector
+from flowloom.functions.bytes import as_hex, be, bind, bits, cut, flag, from_item, hexed, ipv4, ipv4_number, length, mac, name_of, number, text, tlvs
+from flowloom.operators.frames import inner_map, parse_ip, parse_ipv6
+from flowloom.plans.registry import dissector, field_map
 
 # Names of codes, from the protocols' specifications.
 RADIUS_CODES = {1: "Access-Request", 2: "Access-Accept", 3: "Access-Reject", 4: "Accounting-Request", 5: "Accounting-Response", 11: "Access-Challenge"}
@@ -330,12 +330,30 @@ class Ldp:
         return (length(p) >= 14) & (be(p, 0, 2) == 1) & (be(p, 2, 2) >= 6) & (be(p, 2, 2) + 4 <= length(p) + 8)
 
     def fields(p, port, l4):
-        every = tlvs(p, 10, length(p), kind=2, size=2, limit=16)
+        return {"ldp_router_id": ipv4(p, 4), "ldp_label_space": number(be(p, 8, 2)), "*": bind(tlvs(p, 10, length(p), kind=2, size=2, limit=16), lambda x: Ldp._messages(p, x))}
+
+    def _messages(p, every):
+        """Fields of the messages, and of the first label mapping among them."""
         short = F.array_position(F.transform(every, lambda x: x["at"] + 4 > length(p)), True)
-        m = F.when(short > 0, F.slice(every, F.lit(1), (short - 1).cast("int"))).otherwise(every)
+        whole = F.when(short > 0, F.slice(every, F.lit(1), (short - 1).cast("int"))).otherwise(every)
         kind = lambda x: bits(x["t"], 0, 0x7FFF)
-        mapping = F.get(F.filter(m, lambda x: (kind(x) == 0x0400) & (x["n"] >= 4)), F.lit(0))
-        a = tlvs(p, F.coalesce(mapping["at"] + 4, F.lit(0)), F.coalesce(mapping["at"] + mapping["n"], F.lit(0)), kind=2, size=2, limit=16)
+
+        def named(m):
+            end = F.element_at(F.when(F.size(m) > 0, m), -1)
+            left = length(p) - F.coalesce(end["at"] + end["n"], F.lit(10))
+            mapping = F.get(F.filter(m, lambda x: (kind(x) == 0x0400) & (x["n"] >= 4)), F.lit(0))
+            return field_map(
+                {
+                    "parse_warning": when((left >= 8) & (F.size(m) < 16), F.lit("ldp_message_len_exceeds_buffer")),
+                    "ldp_message_type": when(F.size(m) > 0, name_of(kind(F.get(m, F.lit(0))), LDP_TYPES)),
+                    "ldp_message_count": number(F.size(m)),
+                    "*": bind(mapping, lambda x: F.when(x.isNotNull(), bind(tlvs(p, x["at"] + 4, x["at"] + x["n"], kind=2, size=2, limit=16), lambda a: Ldp._mapping(p, a)))),
+                }
+            )
+
+        return bind(whole, named)
+
+    def _mapping(p, a):
         v4 = lambda x: (x["n"] >= 4) & (be(p, x["at"], 1) == 2) & (be(p, x["at"] + 1, 2) == 1) & (F.ceil(be(p, x["at"] + 3, 1) / 8) + 4 <= x["n"])
 
         def prefix(d, at, n):
@@ -343,17 +361,8 @@ class Ldp:
             octet = lambda k: F.when(size > k, be(d, at + 4 + k, 1)).otherwise(0)
             return F.concat(F.concat_ws(".", *(octet(k) for k in range(4))), F.lit("/"), be(d, at + 3, 1))
 
-        end = F.element_at(F.when(F.size(m) > 0, m), -1)
-        left = length(p) - F.coalesce(end["at"] + end["n"], F.lit(10))
-        return {
-            "ldp_router_id": ipv4(p, 4),
-            "ldp_label_space": number(be(p, 8, 2)),
-            "parse_warning": when((left >= 8) & (F.size(m) < 16), F.lit("ldp_message_len_exceeds_buffer")),
-            "ldp_message_type": when(F.size(m) > 0, name_of(kind(F.get(m, F.lit(0))), LDP_TYPES)),
-            "ldp_label_mapping_fec": from_item(p, last(a, 0x0100, v4), prefix),
-            "ldp_label_mapping_label": from_item(p, last(a, 0x0200, lambda x: x["n"] >= 4), lambda d, at, n: number(bits(be(d, at, 4), 0, 0xFFFFF))),
-            "ldp_message_count": number(F.size(m)),
-        }
+        fec, label = last(a, 0x0100, v4), last(a, 0x0200, lambda x: x["n"] >= 4)
+        return field_map({"ldp_label_mapping_fec": bind(fec, lambda x: from_item(p, x, prefix)), "ldp_label_mapping_label": bind(label, lambda x: from_item(p, x, lambda d, at, n: number(bits(be(d, at, 4), 0, 0xFFFFF))))})
 
 
 @dissector("BGP", "bgp", 25, "TCP", (179,), (0.7, 0.95))
@@ -456,14 +465,6 @@ class Gre:
         inner = cut(p, size, length(p))
         into = ok & kind.isin(0x0800, 0x86DD) & (length(inner) >= 1)
         version = bits(be(inner, 0, 1), 4, 15)
-        ip = F.when(version == 4, parse_ipv4(inner)).when(version == 6, parse_ipv6(inner))
-        nested = (version == 4) & (ip["proto"] == 47)
-        deeper = ip["payload"]
-        _, _, _, _, more = Gre._head(deeper)
-        twice = cut(deeper, more, length(deeper))
-        one, two = inner_fields(inner, "gre_inner"), inner_fields(twice, "gre_inner")
-        third = parse_ipv4(twice)["proto"] == 47
-        out = {k: when(into, F.when(nested, F.coalesce(two[k], one[k] if k.endswith("_ip") else F.lit(None))).otherwise(one[k])) for k in one}
         return {
             "parse_warning": when(~ok, F.lit("gre_header_truncated")),
             "gre_version": when(ok, F.when(bits(v, 0, 7) == 0, "0").otherwise("unknown_nonzero")),
@@ -475,13 +476,24 @@ class Gre:
             "gre_protocol_type": when(ok, as_hex(kind, 4)),
             "gre_erspan_detected": when(ok & (kind == 0x22EB), F.lit("true")),
             "gre_keepalive_likely": when(ok & (kind == 0) & (length(inner) == 0), F.lit("true")),
-            "gre_inner_packet_parse_failed": when(into & version.isin(4, 6) & ip.isNull(), F.lit("true")),
-            "gre_inner_packet_unknown_ip_version": when(into & ~version.isin(4, 6), F.lit("true")),
-            "gre_nested_tunnel_detected": when(into & nested, F.lit("true")),
-            "gre_nested_tunnel_depth_limit_reached": when(into & nested & third, F.lit("true")),
-            **out,
+            "*": when(into, bind(inner, Gre._inside)),
         }
 
+    def _inside(inner):
+        """Fields of the packet inside; another tunnel in it is opened once more."""
+        version = bits(be(inner, 0, 1), 4, 15)
+        yes = F.lit("true")
+
+        def opened(ip):
+            nested = (version == 4) & (ip["proto"] == 47)
+            deeper = bind(ip["payload"], lambda g: cut(g, Gre._head(g)[4], length(g)))
+            own = F.when(nested, F.map_concat(F.create_map(F.lit("gre_nested_tunnel_detected"), yes), F.coalesce(bind(deeper, lambda d: F.when(bind(parse_ip(d), lambda x: x["proto"] == 47), F.create_map(F.lit("gre_nested_tunnel_depth_limit_reached"), yes)).otherwise(inner_map(d, "gre_inner"))), F.create_map().cast("map<string,string>")))).otherwise(inner_map(inner, "gre_inner"))
+            failed = F.create_map(F.lit("gre_inner_packet_parse_failed"), yes)
+            return F.when(ip.isNull(), failed).otherwise(own)
+
+        unknown = F.create_map(F.lit("gre_inner_packet_unknown_ip_version"), yes)
+        return F.when(~version.isin(4, 6), unknown).otherwise(bind(parse_ip(inner), opened))
+
 
 @dissector("MPLS", "mpls", 23, "MPLS")
 class Mpls:
@@ -497,7 +509,6 @@ class Mpls:
         inner = cut(p, depth * 4, length(p))
         version = bits(be(inner, 0, 1), 4, 15)
         some = ok & (length(inner) > 0)
-        f = inner_fields(inner, "mpls_inner")
         return {
             "parse_warning": when(~ok, F.lit("mpls_stack_truncated_or_too_deep")),
             "mpls_stack_depth": when(ok, number(depth)),
@@ -505,7 +516,7 @@ class Mpls:
             "mpls_top_ttl": when(ok, number(be(p, 3, 1))),
             "mpls_bottom_label": when(ok & (depth > 1), number(bits(be(p, depth * 4 - 4, 3), 4, 0xFFFFF))),
             "mpls_inner_protocol": when(some, F.when(version == 4, "IPv4").when(version == 6, "IPv6").otherwise("unknown")),
-            **{k: when(some, f[k]) for k in f if k != "mpls_inner_protocol"},
+            "*": when(some, inner_map(inner, "mpls_inner", ("src_ip", "dst_ip", "dst_port", "sni"))),
         }
 
 
@@ -516,7 +527,7 @@ class SixInFour:
 
     def fields(p, port, l4):
         bad = parse_ipv6(p).isNull()
-        return {"parse_warning": when(bad, F.lit("sixin4_inner_ipv6_parse_failed")), **{k: when(~bad, v) for k, v in inner_fields(p, "sixin4_inner").items()}}
+        return {"parse_warning": when(bad, F.lit("sixin4_inner_ipv6_parse_failed")), "*": when(~bad, inner_map(p, "sixin4_inner"))}
 
 
 @dissector("AH", "ah", 41, "AH")
@@ -557,14 +568,13 @@ class L2tp:
 
     def fields(p, port, l4):
         ok, kind = length(p) >= 18, be(p, 16, 2)
-        f = inner_fields(cut(p, 18, length(p)), "l2tpv3_inner")
         v4 = ok & (kind == 0x0800)
         return {
             "l2tpv3_session_id": when(ok, as_hex(be(p, 0, 4), 8)),
             "l2tpv3_inner_dst_mac": when(ok, mac(p, 4)),
             "l2tpv3_inner_src_mac": when(ok, mac(p, 10)),
-            **{k: when(v4, f[k]) for k in ("l2tpv3_inner_src_ip", "l2tpv3_inner_dst_ip", "l2tpv3_inner_sni")},
             "l2tpv3_inner_protocol": when(ok, F.when(kind == 0x86DD, "IPv6").when(kind == 0x8847, "MPLS").when(kind == 0x9000, "Loopback/ECTP")),
+            "*": when(v4, inner_map(cut(p, 18, length(p)), "l2tpv3_inner", ("src_ip", "dst_ip", "sni"))),
         }
 
 

@@ -91,7 +91,11 @@ def best_score(payload: Column, port: Column, l4: Column, enabled: dict[str, boo
 
 
 def field_map(fields: dict[str, Column]) -> Column:
-    """A map without the fields that are null."""
+    """A map without the fields that are null; ``*`` is a map of further ones."""
+    more = fields.get("*")
+    if more is not None:
+        rest = field_map({k: v for k, v in fields.items() if k != "*"})
+        return F.map_concat(rest, F.coalesce(more, F.create_map().cast(FIELDS)))
     pairs = [x for k, v in fields.items() for x in (F.lit(k), v.cast("string"))]
     return F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()).cast(FIELDS)
 
