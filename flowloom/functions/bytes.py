@@ -105,7 +105,7 @@ def checksum16(data: Column) -> Column:
     words = F.when(length(data) > 0, F.sequence(F.lit(0), F.floor((length(data) + 1) / 2).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
     fold = lambda x: x % 65536 + F.floor(x / 65536)
     total = F.aggregate(words, F.lit(0).cast("long"), lambda s, i: (s + be(even, i * 2, 2)).cast("long"))
-    return (F.lit(65535) - fold(fold(total))).cast("long")
+    return F.when(data.isNotNull(), (F.lit(65535) - fold(fold(total))).cast("long"))
 
 
 def entropy(data: Column) -> Column:

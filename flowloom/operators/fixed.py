@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowloom.functions.bytes import as_hex, be, between_zeros, bits, checksum16, cut, flag, hexed, ipv4, ipv4_number, ipv6, le, length, mac, name_of, number, text
-from flowloom.plans.registry import dissector
+from flowloom.functions.bytes import as_hex, be, between_zeros, bind, bits, checksum16, cut, flag, hexed, ipv4, ipv4_number, ipv6, le, length, mac, name_of, number, text
+from flowloom.plans.registry import dissector, field_map
 
 #: Dissectors that look at no transport of their own; they compete everywhere in compatibility mode.
 UNGATED = {"DNS", "SIP", "STUN", "IGMP", "ESP", "6in4", "LDP", "EIGRP", "AH", "LLDP", "L2TPv3", "Syslog", "WoL"}
@@ -758,19 +758,16 @@ class Tds:
         tokens = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.struct(be(body, i * 5, 1).alias("t"), be(body, i * 5 + 1, 2).alias("at"), be(body, i * 5 + 3, 2).alias("n"), (i * 5 + 5 <= length(body)).alias("ok")))
         stop = F.array_position(F.transform(tokens, lambda x: F.coalesce((x["t"] == 255) | ~x["ok"], F.lit(True))), True)
         used = F.when(stop > 0, F.slice(tokens, F.lit(1), (stop - 1).cast("int"))).otherwise(tokens)
+        base = {"tds_type": name_of(be(p, 0, 1), TDS_TYPES), "tds_eom": flag(be(p, 1, 1), 1), "tds_length": number(be(p, 2, 2)), "tds_spid": number(be(p, 4, 2)), "tds_packet_id": number(be(p, 6, 1))}
+        return base | {"*": when(pre, bind(used, lambda x: Tds._tokens(body, x)))}
+
+    def _tokens(body, used):
         v = F.get(F.filter(used, lambda x: (x["t"] == 0) & (x["n"] >= 4) & (x["at"] + 4 <= length(body))), F.lit(0))["at"]
-        out = {
-            "tds_type": name_of(be(p, 0, 1), TDS_TYPES),
-            "tds_eom": flag(be(p, 1, 1), 1),
-            "tds_length": number(be(p, 2, 2)),
-            "tds_spid": number(be(p, 4, 2)),
-            "tds_packet_id": number(be(p, 6, 1)),
-            "tds_prelogin_server_version": when(pre & v.isNotNull(), F.concat_ws(".", be(body, v, 1), F.lpad(be(body, v + 1, 1).cast("string"), 2, "0"), be(body, v + 2, 2))),
-        }
+        out = {"tds_prelogin_server_version": when(v.isNotNull(), F.concat_ws(".", be(body, v, 1), F.lpad(be(body, v + 1, 1).cast("string"), 2, "0"), be(body, v + 2, 2)))}
         for i in range(16):
             x = F.get(used, F.lit(i))
-            out[f"tds_prelogin_token_{i}_name"] = when(pre & x.isNotNull(), name_of(x["t"], TDS_TOKENS, "unknown"))
-        return out
+            out[f"tds_prelogin_token_{i}_name"] = when(x.isNotNull(), name_of(x["t"], TDS_TOKENS, "unknown"))
+        return field_map(out)
 
 
 @dissector("NetBIOS", "netbios", 42, "UDP", (137, 138))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from flowloom.functions.bytes import be, cut, length, text
-from flowloom.plans.registry import dissector
+from flowloom.functions.bytes import be, bind, cut, length, text
+from flowloom.plans.registry import dissector, field_map
 
 # Methods, commands and names from the protocols' specifications.
 HTTP_METHODS = "GET POST PUT DELETE HEAD OPTIONS PATCH CONNECT TRACE"
@@ -341,13 +341,12 @@ class Ssh:
             return F.when(fits, F.struct((at + 4 + k).cast("int").alias("at"), F.concat(s["out"], F.array(text(pkt, at + 4, k))).alias("out"))).otherwise(s)
 
         lists = F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.struct(F.lit(22).alias("at"), none.alias("out")), step, lambda s: s["out"])
-        out = {
+        named_lists = lambda x: field_map({k: F.get(x, F.lit(i)) for i, k in enumerate(KEX_LISTS)} | {"parse_warning": when(F.size(x) < 8, F.lit("truncated_kexinit_namelist"))})
+        return {
             "ssh_identification_string": F.substring(banner, 1, 255),
             "ssh_protocol_version": when(named, versions),
             "ssh_software_version": when(named, F.regexp_extract(banner, "^SSH-[^-]*-([^ ]*)", 1)),
             "ssh_kexinit_present": when(~bad, F.when(kex, "true").otherwise("false")),
-            "parse_warning": F.when(bad, "invalid_kexinit_packet_length").when(kex & (F.size(lists) < 8), "truncated_kexinit_namelist"),
+            "parse_warning": F.when(bad, "invalid_kexinit_packet_length"),
+            "*": when(kex, bind(lists, named_lists)),
         }
-        for i, k in enumerate(KEX_LISTS):
-            out[k] = when(kex, F.get(lists, F.lit(i)))
-        return out

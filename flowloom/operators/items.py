@@ -75,7 +75,9 @@ class Radius:
 
     def fields(p, port, l4):
         end = F.least(be(p, 2, 2), length(p)).cast("int")
-        a = tlvs(p, 20, end, kind=1, size=1, whole=True, limit=128)
+        return {"*": bind(tlvs(p, 20, end, kind=1, size=1, whole=True, limit=128), lambda a: field_map(Radius._of(p, a, end)))}
+
+    def _of(p, a, end):
         whole = lambda d, at, n: text(d, at, n)
         four = lambda x: x["n"] == 4
         left = end - F.coalesce(F.element_at(F.when(F.size(a) > 0, a), -1)["at"] + F.element_at(F.when(F.size(a) > 0, a), -1)["n"], F.lit(20))
@@ -97,12 +99,13 @@ class Dhcp:
         return (length(p) >= 240) & be(p, 0, 1).isin(1, 2) & (be(p, 236, 4) == 0x63825363)
 
     def fields(p, port, l4):
-        o = tlvs(p, 240, length(p), kind=1, size=1, skip=0, stop=255, limit=200)
+        return {"*": bind(tlvs(p, 240, length(p), kind=1, size=1, skip=0, stop=255, limit=200), lambda o: field_map(Dhcp._of(p, o)))}
+
+    def _of(p, o):
         sized = lambda n: lambda x: x["n"] == n
         whole = lambda d, at, n: text(d, at, n)
         auth = last(o, 90, lambda x: x["n"] >= 11)
-        relay = last(o, 82)
-        subs = tlvs(p, F.coalesce(relay["at"], F.lit(0)), F.coalesce(relay["at"] + relay["n"], F.lit(0)), kind=1, size=1, limit=8)
+        relay = bind(last(o, 82), lambda x: F.when(x.isNotNull(), tlvs(p, x["at"], x["at"] + x["n"], kind=1, size=1, limit=8)))
         shown = lambda d, at, n: F.when(text(d, at, n).rlike(r"^[\x20-\x7e]+$"), text(d, at, n)).otherwise(hexed(d, at, n))
         return {
             "dhcp_op": F.when(be(p, 0, 1) == 1, "BOOTREQUEST").otherwise("BOOTREPLY"),
@@ -115,8 +118,7 @@ class Dhcp:
             "dhcp_auth_rdm": from_item(p, auth, lambda d, at, n: F.when(be(d, at + 2, 1) == 0, "Monotonically Increasing Counter").otherwise("Unknown")),
             "dhcp_auth_replay_detection_hex": from_item(p, auth, lambda d, at, n: hexed(d, at + 3, 8)),
             "dhcp_auth_info_hex": from_item(p, auth, lambda d, at, n: F.when(n > 11, hexed(d, at + 11, n - 11))),
-            "dhcp_relay_agent_circuit_id": from_item(p, last(subs, 1), shown),
-            "dhcp_relay_agent_remote_id": from_item(p, last(subs, 2), shown),
+            "*": bind(relay, lambda subs: field_map({"dhcp_relay_agent_circuit_id": from_item(p, last(subs, 1), shown), "dhcp_relay_agent_remote_id": from_item(p, last(subs, 2), shown)})),
         }
 
 
@@ -145,7 +147,9 @@ class Stun:
 
     def fields(p, port, l4):
         end = be(p, 2, 2) + 20
-        a = tlvs(p, 20, F.least(end, length(p)), kind=2, size=2, pad=4, limit=32)
+        return {"*": bind(tlvs(p, 20, F.least(end, length(p)), kind=2, size=2, pad=4, limit=32), lambda a: field_map(Stun._of(p, a, end)))}
+
+    def _of(p, a, end):
         v4 = lambda x: (x["n"] >= 8) & (be(p, x["at"] + 1, 1) == 1)
         mapped = last(a, 0x20, v4)
         x = F.element_at(F.when(F.size(a) > 0, a), -1)
@@ -182,7 +186,9 @@ class Lldp:
         return F.aggregate(F.sequence(F.lit(1), F.lit(32)), first, step)
 
     def fields(p, port, l4):
-        walked = Lldp._items(p)
+        return {"*": bind(Lldp._items(p), lambda walked: field_map(Lldp._of(p, walked)))}
+
+    def _of(p, walked):
         a = walked["out"]
         chassis, portid = last(a, 1, lambda x: x["n"] >= 1), last(a, 2, lambda x: x["n"] >= 1)
         some = lambda x: x["n"] > 0
@@ -298,11 +304,10 @@ class Sctp:
         return tlvs(p, 12, length(p), kind=2, size=2, whole=True, pad=4, limit=32)
 
     def fields(p, port, l4):
-        a = Sctp.chunks(p)
+        """Fields of every chunk; each chunk's are a map, and the maps are joined."""
         out = {"sctp_src_port": number(be(p, 0, 2)), "sctp_dst_port": number(be(p, 2, 2)), "sctp_verification_tag": as_hex(be(p, 4, 4), 8)}
-        for i in range(8):
-            out |= Sctp.chunk(p, F.get(a, F.lit(i)), i)
-        return out
+        numbered = F.transform(Sctp.chunks(p), lambda x, i: F.transform(F.map_entries(field_map(Sctp.chunk(p, x, "#"))), lambda e: F.struct(F.replace(e["key"], F.lit("#"), i.cast("string")).alias("key"), e["value"].alias("value"))))
+        return out | {"*": F.map_from_entries(F.flatten(numbered))}
 
     def chunk(p, x, i):
         t, at = bits(x["t"], 8, 255), x["at"]
@@ -311,7 +316,7 @@ class Sctp:
         found = F.when(_M3UA_DETECT(inner, None, None) > 0, "M3UA").when(_M2UA_DETECT(inner, None, None) > 0, "M2UA")
         k = f"sctp_chunk_{i}"
         return {
-            f"{k}_type": name_of(t, SCTP_CHUNKS) if i is None else when(x.isNotNull(), name_of(t, SCTP_CHUNKS)),
+            f"{k}_type": name_of(t, SCTP_CHUNKS),
             f"{k}_tsn": when(data, number(be(p, at, 4))),
             f"{k}_stream_id": when(data, number(be(p, at + 4, 2))),
             f"{k}_stream_seq": when(data, number(be(p, at + 6, 2))),
@@ -388,30 +393,51 @@ class Bgp:
         return F.aggregate(F.sequence(F.lit(1), F.lit(32)), first, step)
 
     def fields(p, port, l4):
-        walked = Bgp.messages(p)
+        return {"*": bind(Bgp.messages(p), lambda walked: field_map(Bgp._of(p, walked)))}
+
+    def _of(p, walked):
         m = walked["out"]
         first = lambda t: F.get(F.filter(m, lambda x: x["t"] == t), F.lit(0))
         opened, update, notice = first(1), first(2), last(m, 3)
         o = opened["at"]
         has = opened["n"] >= 10
-        u, un = update["at"], update["n"]
+        return {
+            "bgp_open_version": when(has, number(be(p, o, 1))),
+            "bgp_open_my_as": when(has, number(be(p, o + 1, 2))),
+            "bgp_open_hold_time": when(has, number(be(p, o + 3, 2))),
+            "bgp_open_router_id": when(has, ipv4(p, o + 5)),
+            "bgp_notification_error_code": when(notice["n"] >= 2, number(be(p, notice["at"], 1))),
+            "bgp_notification_error_subcode": when(notice["n"] >= 2, number(be(p, notice["at"] + 1, 1))),
+            "parse_warning": walked["warning"],
+            "bgp_message_count": number(F.size(m)),
+            "bgp_type": when(F.size(m) > 0, name_of(F.get(m, F.lit(0))["t"], BGP_TYPES)),
+            "*": bind(update, lambda x: F.when(x["n"] >= 4, Bgp._update(p, x["at"], x["n"]))),
+        }
+
+    def _update(p, u, un):
+        """Fields of an UPDATE of ``un`` bytes at ``u``."""
         gone = be(p, u, 2)
-        ok = (un >= 4) & (gone + 2 <= un)
+        ok = gone + 2 <= un
         attrs = u + gone + 4
         size = be(p, attrs - 2, 2)
         fits = ok & (gone + 4 <= un) & (gone + 4 + size <= un)
+        warning = F.when(~ok, "bgp_update_withdrawn_len_exceeds_buffer").when((gone + 4 <= un) & ~fits, "bgp_update_path_attr_len_exceeds_buffer")
+        head = field_map({"parse_warning": warning, "bgp_update_withdrawn_routes_len": when(ok, number(gone))})
+        inside = bind(F.struct(attrs.cast("int").alias("at"), (attrs + size).cast("int").alias("end")), lambda x: Bgp._attributes(p, x["at"], x["end"], u + un))
+        return F.map_concat(head, F.coalesce(F.when(fits, inside), F.create_map().cast("map<string,string>")))
+
+    def _attributes(p, start, end, stop):
         none = F.array().cast("array<struct<t:long,at:int,n:int>>")
-        end = attrs + size
 
         def attribute(s, _):
             at = s["at"]
             wide = bits(be(p, at, 1), 4, 1) == 1
             n = F.when(wide, be(p, at + 2, 2)).otherwise(be(p, at + 2, 1)).cast("int")
-            start = (at + F.when(wide, 4).otherwise(3)).cast("int")
-            good = (start <= end) & (start + n <= end)
-            return F.when(good & (at < end), F.struct((start + n).alias("at"), F.concat(s["out"], F.array(F.struct(be(p, at + 1, 1).alias("t"), start.alias("at"), n.alias("n")))).alias("out"))).otherwise(s)
+            first = (at + F.when(wide, 4).otherwise(3)).cast("int")
+            good = (first <= end) & (first + n <= end)
+            return F.when(good & (at < end), F.struct((first + n).alias("at"), F.concat(s["out"], F.array(F.struct(be(p, at + 1, 1).alias("t"), first.alias("at"), n.alias("n")))).alias("out"))).otherwise(s)
 
-        a = F.when(fits, F.aggregate(F.sequence(F.lit(1), F.lit(24)), F.struct(attrs.cast("int").alias("at"), none.alias("out")), attribute, lambda s: s["out"]))
+        walked = F.aggregate(F.sequence(F.lit(1), F.lit(24)), F.struct(start.alias("at"), none.alias("out")), attribute, lambda s: s["out"])
         four = lambda x: x["n"] >= 4
 
         def prefix(s, _):
@@ -419,30 +445,23 @@ class Bgp:
             width = be(p, at, 1)
             k = F.ceil(width / 8).cast("int")
             octet = lambda i: F.when(k > i, be(p, at + 1 + i, 1)).otherwise(0)
-            good = (at < u + un) & (width <= 32) & (at + 1 + k <= u + un)
+            good = (at < stop) & (width <= 32) & (at + 1 + k <= stop)
             return F.when(good, F.struct((at + 1 + k).alias("at"), F.concat(s["out"], F.array(F.concat(F.concat_ws(".", *(octet(i) for i in range(4))), F.lit("/"), width))).alias("out"))).otherwise(s)
 
-        nlri = F.when(fits, F.aggregate(F.sequence(F.lit(1), F.lit(4)), F.struct(end.cast("int").alias("at"), F.array().cast("array<string>").alias("out")), prefix, lambda s: s["out"]))
-        out = {
-            "bgp_open_version": when(has, number(be(p, o, 1))),
-            "bgp_open_my_as": when(has, number(be(p, o + 1, 2))),
-            "bgp_open_hold_time": when(has, number(be(p, o + 3, 2))),
-            "bgp_open_router_id": when(has, ipv4(p, o + 5)),
-            "bgp_notification_error_code": when(notice["n"] >= 2, number(be(p, notice["at"], 1))),
-            "bgp_notification_error_subcode": when(notice["n"] >= 2, number(be(p, notice["at"] + 1, 1))),
-            "parse_warning": F.coalesce(walked["warning"], F.when((un >= 4) & ~ok, "bgp_update_withdrawn_len_exceeds_buffer").when(ok & (gone + 4 <= un) & ~fits, "bgp_update_path_attr_len_exceeds_buffer")),
-            "bgp_update_withdrawn_routes_len": when(ok, number(gone)),
-            "bgp_update_origin": from_item(p, last(a, 1, lambda x: x["n"] >= 1), lambda d, at, n: name_of(be(d, at, 1), {0: "IGP", 1: "EGP", 2: "INCOMPLETE"})),
-            "bgp_update_as_path_len": from_item(p, last(a, 2), lambda d, at, n: number(n)),
-            "bgp_update_next_hop": from_item(p, last(a, 3, four), lambda d, at, n: ipv4(d, at)),
-            "bgp_update_med": from_item(p, last(a, 4, four), lambda d, at, n: number(be(d, at, 4))),
-            "bgp_update_local_pref": from_item(p, last(a, 5, four), lambda d, at, n: number(be(d, at, 4))),
-            "bgp_message_count": number(F.size(m)),
-            "bgp_type": when(F.size(m) > 0, name_of(F.get(m, F.lit(0))["t"], BGP_TYPES)),
-        }
-        for i in range(4):
-            out[f"bgp_update_nlri_{i}"] = F.get(nlri, F.lit(i))
-        return out
+        def named(a):
+            return field_map(
+                {
+                    "bgp_update_origin": from_item(p, last(a, 1, lambda x: x["n"] >= 1), lambda d, at, n: name_of(be(d, at, 1), {0: "IGP", 1: "EGP", 2: "INCOMPLETE"})),
+                    "bgp_update_as_path_len": from_item(p, last(a, 2), lambda d, at, n: number(n)),
+                    "bgp_update_next_hop": from_item(p, last(a, 3, four), lambda d, at, n: ipv4(d, at)),
+                    "bgp_update_med": from_item(p, last(a, 4, four), lambda d, at, n: number(be(d, at, 4))),
+                    "bgp_update_local_pref": from_item(p, last(a, 5, four), lambda d, at, n: number(be(d, at, 4))),
+                }
+            )
+
+        nlri = F.aggregate(F.sequence(F.lit(1), F.lit(4)), F.struct(end.alias("at"), F.array().cast("array<string>").alias("out")), prefix, lambda s: s["out"])
+        routes = bind(nlri, lambda x: F.map_from_entries(F.transform(x, lambda v, i: F.struct(F.concat(F.lit("bgp_update_nlri_"), i).alias("key"), v.alias("value")))))
+        return F.map_concat(bind(walked, named), routes)
 
 
 @dissector("GRE", "gre", 22, "GRE")

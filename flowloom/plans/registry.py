@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.functions.bytes import bind
+
 #: A score must be above this to count.
 THRESHOLD = 0.3
 
@@ -95,7 +97,8 @@ def field_map(fields: dict[str, Column]) -> Column:
     more = fields.get("*")
     if more is not None:
         rest = field_map({k: v for k, v in fields.items() if k != "*"})
-        return F.map_concat(rest, F.coalesce(more, F.create_map().cast(FIELDS)))
+        # of a key in both, the further one counts
+        return bind(F.coalesce(more, F.create_map().cast(FIELDS)), lambda m: F.map_concat(F.map_filter(rest, lambda k, v: ~F.map_contains_key(m, k)), m))
     pairs = [x for k, v in fields.items() for x in (F.lit(k), v.cast("string"))]
     return F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()).cast(FIELDS)
 
