@@ -54,6 +54,19 @@ def _parts(line: Column, n: int) -> Column:
     return F.array(*keys)
 
 
+def _with_halves(rows: DataFrame, least: int) -> DataFrame:
+    """``_parts`` for n = 2, of lines of ``least`` characters or more, as the columns k1 to k4.
+
+    Less one half, a line is its other half; lengths and bounds are columns of
+    their own, so that each is worked out once.
+    """
+    size, h, g = F.col("size"), F.col("h"), F.col("g")
+    sized = rows.withColumn("size", F.length("line")).withColumn("h", F.shiftright("size", 1)).withColumn("g", F.shiftright(F.col("size") - 1, 1))
+    key = lambda side, base, start, n: F.when(size >= least, F.xxhash64(F.lit(side), base, F.substring("line", start, n)))
+    keys = {"k1": key(0, size, h + 1, size), "k2": key(1, size, F.lit(1), h), "k3": key(0, size - 1, g + 2, size), "k4": key(1, size - 1, F.lit(1), g)}
+    return sized.select(*rows.columns, *(v.alias(k) for k, v in keys.items()))
+
+
 def _shared(keyed: DataFrame) -> DataFrame:
     """Keys that more than one different line has."""
     return keyed.groupBy("key").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("key")
@@ -70,11 +83,11 @@ def _uid(doc_id: Column, text: Column) -> Column:
 
 
 def near_lines(firsts: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of different lines (h1, h2, first, size, halves), those with an earlier line within one edit: h1, h2.
+    """Of different lines (h1, h2, first, k1 to k4), those with an earlier line within one edit: h1, h2.
 
     texts: (uid, text) of all documents.
     """
-    keyed = firsts.select(*_ID, F.explode("halves").alias("key"))
+    keyed = firsts.select(*_ID, F.explode(F.array("k1", "k2", "k3", "k4")).alias("key"))
     open_lines = with_members(keyed, F.col("key"), _shared(keyed), F.col("key")).select(*_ID).distinct()
     # the text of a line is in the document where it stands first
     open_firsts = stage(firsts.join(open_lines, _ID).select(*_ID, "first", F.col("first.uid").alias("uid")))
@@ -111,17 +124,16 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
-    line = F.col("line")
     rows = line_rows(docs, doc_id, text).where(F.length("line") >= min_chars)
-    halves = F.when(F.length("line") >= min_edit_chars, F.transform(_parts(line, 2), lambda p: p["key"])) if max_edits else F.lit(None).cast("array<long>")
-    rows = rows.select(F.struct("doc_id", "uid", "line_no").alias("place"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), halves.alias("halves"))
-    firsts = rows.groupBy(*_ID).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), F.first("halves").alias("halves"))
+    halves = ["k1", "k2", "k3", "k4"] if max_edits else []
+    rows = _with_halves(rows, min_edit_chars).select(F.struct("doc_id", "uid", "line_no").alias("place"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), *halves)
+    firsts = rows.groupBy(*_ID).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), *(F.first(k).alias(k) for k in halves))
     again = firsts.where("n > 1").select(*_ID, "first")
     if max_edits:
         firsts = stage(firsts)
         again = firsts.where("n > 1").select(*_ID, "first")
         body = docs.select(_uid(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("uid"), F.col(f"`{text}`").cast("string").alias("text"))
-        near = near_lines(firsts.where("halves is not null"), body)
+        near = near_lines(firsts.where("k1 is not null"), body)
         # where an earlier line is near, the first occurrence goes too
         again = again.join(near.withColumn("near", F.lit(True)), _ID, "full").select(*_ID, "first", F.coalesce("near", F.lit(False)).alias("near"))
     else:
