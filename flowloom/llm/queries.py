@@ -105,4 +105,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from flowloom.llm.oracles import SQL
+
+    return dict(SQL)
