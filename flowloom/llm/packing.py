@@ -116,9 +116,10 @@ def best_filling(room: int, counts: np.ndarray, nodes: int = 4000) -> list[int]:
             if chosen.count(s) >= counts[s]:
                 i += 1
                 continue
-            # lengths from here on are at most s: even copies of s alone leave this much
+            # nothing fits beside s, and it wastes no less than the incumbent: go on with lengths that leave room for one more
             if left - s < smallest and left - s >= waste:
-                return False  # this and all smaller single pieces waste at least as much
+                i = max(i + 1, int(np.searchsorted(-sizes, -(left - smallest))))
+                continue
             budget -= 1
             chosen.append(s)
             if branch(i, left - s):
