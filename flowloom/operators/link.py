@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from flowloom.functions.bytes import as_hex, be, bits, cut, flag, from_item, hexed, ipv4, le, length, mac, name_of, number, text, tlvs
+from flowloom.functions.bytes import as_hex, be, bind, bits, cut, flag, from_item, hexed, ipv4, le, length, mac, name_of, number, text, tlvs
 from flowloom.functions.tls import sni
-from flowloom.operators.frames import parse_ipv4, parse_tcp
+from flowloom.operators.frames import parse_ipv4
 from flowloom.operators.items import last
 from flowloom.plans.registry import field_map
 
@@ -45,16 +45,12 @@ def dot11(p: Column) -> Column:
     body = cut(p, 24, length(p))
     sealed = b.bitwiseAND(F.lit(0x40)) != 0
     beacon, auth, data = std & (kind == 0) & (sub == 8), std & (kind == 0) & (sub == 11), std & (kind == 2) & (sub == 0)
-    tags = tlvs(body, 12, length(body), kind=1, size=1, limit=48)
+    ssid = bind(body, lambda d: bind(last(tlvs(d, 12, length(d), kind=1, size=1, limit=48), 0), lambda x: from_item(d, x, lambda e, at, n: text(e, at, n))))
     open_auth = auth & ~sealed & (length(body) >= 6)
     snap = data & ~sealed & (length(body) >= 8) & (hexed(body, 0, 6) == "aaaa03000000")
     ether, inner = be(body, 6, 2), cut(body, 8, length(body))
     arp = snap & (ether == 0x0806) & (length(inner) >= 28) & be(inner, 6, 2).between(1, 4) & (be(inner, 0, 2) == 1)
-    ip = F.when(snap & (ether == 0x0800), parse_ipv4(inner))
-    tcp = F.when(ip["proto"] == 6, parse_tcp(ip["payload"]))["payload"]
-    t = text(tcp)
-    http = t.rlike("^(?:GET|POST|PUT|DELETE|HEAD|OPTIONS|PATCH|CONNECT|TRACE) ")
-    host = F.regexp_extract(t, r"(?i)\r\nhost: *([^\r\n]*)", 1)
+    packet = F.when(snap & (ether == 0x0800), bind(parse_ipv4(inner), _dot11_packet))
     return field_map(
         {
             "parse_warning": F.when(~ok, "dot11_header_too_short"),
@@ -64,7 +60,7 @@ def dot11(p: Column) -> Column:
             "dot11_addr2": F.when(std, mac(p, 10)),
             "dot11_addr3": F.when(std, mac(p, 16)),
             "dot11_seq_num": F.when(std, number(bits(le(p, 22, 2), 4, 0xFFF))),
-            "dot11_beacon_ssid": F.when(beacon, from_item(body, last(tags, 0), lambda d, at, n: text(d, at, n))),
+            "dot11_beacon_ssid": F.when(beacon, ssid),
             "dot11_auth_encrypted": F.when(auth & sealed, "true"),
             "dot11_auth_algorithm": F.when(open_auth, name_of(le(body, 0, 2), {0: "Open System", 1: "Shared Key"})),
             "dot11_auth_seq": F.when(open_auth, number(le(body, 2, 2))),
@@ -73,17 +69,33 @@ def dot11(p: Column) -> Column:
             "dot11_data_arp_opcode": F.when(arp, name_of(be(inner, 6, 2), {1: "Request", 2: "Reply", 3: "RARP Request", 4: "RARP Reply"})),
             "dot11_data_arp_sender_ip": F.when(arp, ipv4(inner, 14)),
             "dot11_data_arp_target_ip": F.when(arp, ipv4(inner, 24)),
-            "dot11_data_inner_src_ip": ip["src"],
-            "dot11_data_inner_dst_ip": ip["dst"],
-            "dot11_data_inner_http_method": F.when(http, F.substring_index(t, " ", 1)),
-            "dot11_data_inner_http_path": F.when(http, F.regexp_extract(t, "^[A-Z]+ ([^ ]*)", 1)),
-            "dot11_data_inner_http_host": F.when(http & (host != ""), host),
-            "dot11_data_inner_sni": sni(tcp),
+            "*": packet,
             "dot11_data_inner_protocol": F.when(snap & (ether == 0x86DD), "IPv6"),
         }
     )
 
 
+def _dot11_packet(ip: Column) -> Column:
+    """Fields of an IPv4 packet in a data frame: addresses, and what its TCP payload asks for."""
+
+    def asked(data):
+        t = text(data)
+        http = t.rlike("^(?:GET|POST|PUT|DELETE|HEAD|OPTIONS|PATCH|CONNECT|TRACE) ")
+        host = F.regexp_extract(t, r"(?i)\r\nhost: *([^\r\n]*)", 1)
+        return field_map(
+            {
+                "dot11_data_inner_http_method": F.when(http, F.substring_index(t, " ", 1)),
+                "dot11_data_inner_http_path": F.when(http, F.regexp_extract(t, "^[A-Z]+ ([^ ]*)", 1)),
+                "dot11_data_inner_http_host": F.when(http & (host != ""), host),
+                "dot11_data_inner_sni": sni(data),
+            }
+        )
+
+    size = bits(be(ip["payload"], 12, 1), 4, 15) * 4
+    segment = F.when((ip["proto"] == 6) & (length(ip["payload"]) >= 20), cut(ip["payload"], size, length(ip["payload"])))
+    return F.when(ip.isNotNull(), field_map({"dot11_data_inner_src_ip": ip["src"], "dot11_data_inner_dst_ip": ip["dst"], "*": bind(segment, asked)}))
+
+
 def stp(p: Column) -> Column:
     """Of an 802.2 payload: three bytes of header, then the bridge's message."""
     b = cut(p, 3, length(p))
@@ -134,24 +146,24 @@ def appletalk(p: Column) -> Column:
 
 def cdp(p: Column) -> Column:
     d = cut(p, 8, length(p))
-    a = tlvs(d, 4, length(d), kind=2, size=2, whole=True, limit=24)
-    whole = lambda k: from_item(d, last(a, k), lambda x, at, n: text(x, at, n))
-    sized = lambda k, least: last(a, k, lambda x: x["n"] >= least)
-    return _map(
-        (length(d) >= 4) & (be(p, 3, 3) == 0x00000C) & (be(p, 6, 2) == 0x2000),
-        {
-            "cdp_version": number(be(d, 0, 1)),
-            "cdp_ttl_sec": number(be(d, 1, 1)),
-            "cdp_checksum": as_hex(be(d, 2, 2), 4),
-            "cdp_device_id": whole(1),
-            "cdp_address_count": from_item(d, sized(2, 4), lambda x, at, n: number(be(x, at, 4))),
-            "cdp_software_version": whole(5),
-            "cdp_platform": whole(6),
-            "cdp_vtp_management_domain": whole(9),
-            "cdp_native_vlan": from_item(d, sized(10, 2), lambda x, at, n: number(be(x, at, 2))),
-            "cdp_duplex": from_item(d, sized(11, 1), lambda x, at, n: F.when(be(x, at, 1) != 0, "full").otherwise("half")),
-        },
-    )
+    def named(a):
+        whole = lambda k: from_item(d, last(a, k), lambda x, at, n: text(x, at, n))
+        sized = lambda k, least: last(a, k, lambda x: x["n"] >= least)
+        return field_map(
+            {
+                "cdp_device_id": whole(1),
+                "cdp_address_count": from_item(d, sized(2, 4), lambda x, at, n: number(be(x, at, 4))),
+                "cdp_software_version": whole(5),
+                "cdp_platform": whole(6),
+                "cdp_vtp_management_domain": whole(9),
+                "cdp_native_vlan": from_item(d, sized(10, 2), lambda x, at, n: number(be(x, at, 2))),
+                "cdp_duplex": from_item(d, sized(11, 1), lambda x, at, n: F.when(be(x, at, 1) != 0, "full").otherwise("half")),
+            }
+        )
+
+    head = {"cdp_version": number(be(d, 0, 1)), "cdp_ttl_sec": number(be(d, 1, 1)), "cdp_checksum": as_hex(be(d, 2, 2), 4)}
+    ok = (length(d) >= 4) & (be(p, 3, 3) == 0x00000C) & (be(p, 6, 2) == 0x2000)
+    return _map(ok, head | {"*": bind(tlvs(d, 4, length(d), kind=2, size=2, whole=True, limit=24), named)})
 
 
 def eapol(p: Column) -> Column:
@@ -172,21 +184,27 @@ def eapol(p: Column) -> Column:
 
 
 def lacp(p: Column) -> Column:
-    a = tlvs(p, 2, length(p), kind=1, size=1, whole=True, stop=0, limit=8)
-    out = {}
-    for k, who in ((1, "actor"), (2, "partner")):
-        x = last(a, k, lambda i: i["n"] >= 18)
-        read = lambda f, x=x: from_item(p, x, lambda d, at, n: f(at))
-        out |= {
-            f"lacp_{who}_system_priority": read(lambda at: number(be(p, at, 2))),
-            f"lacp_{who}_system_mac": read(lambda at: mac(p, at + 2)),
-            f"lacp_{who}_key": read(lambda at: number(be(p, at + 8, 2))),
-            f"lacp_{who}_port_priority": read(lambda at: number(be(p, at + 10, 2))),
-            f"lacp_{who}_port": read(lambda at: number(be(p, at + 12, 2))),
-        }
-        for i, state in enumerate(("activity", "timeout", "aggregation", "synchronization", "collecting", "distributing")):
-            out[f"lacp_{who}_state_{state}"] = read(lambda at, i=i: flag(be(p, at + 14, 1), 1 << i))
-    return _map((length(p) >= 2) & (be(p, 0, 2) == 0x0101), out)
+    def side(a, k, who):
+        return F.coalesce(bind(last(a, k, lambda i: i["n"] >= 18), lambda x: _lacp_info(p, x, who)), F.create_map().cast("map<string,string>"))
+
+    def named(a):
+        return F.map_concat(side(a, 1, "actor"), side(a, 2, "partner"))
+
+    return F.when((length(p) >= 2) & (be(p, 0, 2) == 0x0101), bind(tlvs(p, 2, length(p), kind=1, size=1, whole=True, stop=0, limit=8), named))
+
+
+def _lacp_info(p: Column, x: Column, who: str) -> Column:
+    at = x["at"]
+    out = {
+        f"lacp_{who}_system_priority": number(be(p, at, 2)),
+        f"lacp_{who}_system_mac": mac(p, at + 2),
+        f"lacp_{who}_key": number(be(p, at + 8, 2)),
+        f"lacp_{who}_port_priority": number(be(p, at + 10, 2)),
+        f"lacp_{who}_port": number(be(p, at + 12, 2)),
+    }
+    for i, state in enumerate(("activity", "timeout", "aggregation", "synchronization", "collecting", "distributing")):
+        out[f"lacp_{who}_state_{state}"] = flag(be(p, at + 14, 1), 1 << i)
+    return F.when(x.isNotNull(), field_map(out))
 
 
 def pppoe(p: Column, discovery: bool) -> Column:
@@ -199,12 +217,17 @@ def pppoe(p: Column, discovery: bool) -> Column:
         "pppoe_length": number(be(p, 4, 2)),
     }
     if discovery:
-        a = tlvs(body, 0, length(body), kind=2, size=2, limit=16)
-        out |= {
-            "pppoe_service_name": from_item(body, last(a, 0x0101), lambda d, at, n: text(d, at, n)),
-            "pppoe_ac_name": from_item(body, last(a, 0x0102), lambda d, at, n: text(d, at, n)),
-            "pppoe_host_uniq_hex": from_item(body, last(a, 0x0103), lambda d, at, n: hexed(d, at, n)),
-        }
+
+        def named(a):
+            return field_map(
+                {
+                    "pppoe_service_name": from_item(body, last(a, 0x0101), lambda d, at, n: text(d, at, n)),
+                    "pppoe_ac_name": from_item(body, last(a, 0x0102), lambda d, at, n: text(d, at, n)),
+                    "pppoe_host_uniq_hex": from_item(body, last(a, 0x0103), lambda d, at, n: hexed(d, at, n)),
+                }
+            )
+
+        out["*"] = bind(tlvs(body, 0, length(body), kind=2, size=2, limit=16), named)
     else:
         proto = be(body, 0, 2)
         control = proto.isin(0xC021, 0x8021, 0x8057) & (length(body) >= 6)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.bytes import checksum16, entropy
 from flowloom.operators import flows, frames, reassembly, rules, scores
+from flowloom.plans.linkframes import DOT11_SQL, FRAMES, dot11_roundtrip, link_roundtrip, link_sql
 from flowloom.plans.registry import classify
 from flowloom.plans.roundtrip import CASES, UDP_IN_IP, A, B, C, Q, W, ip, k, n8, n16, n32, raw, roundtrip, roundtrip_sql, s
 
@@ -322,3 +323,7 @@ def tcp_options(spark, sf_dir):
 for _name in CASES:
     QUERIES[f"{_name}_roundtrip"] = roundtrip(_name)
     SQL[f"{_name}_roundtrip"] = roundtrip_sql(_name)
+for _name in FRAMES:
+    QUERIES[f"{_name}_frame"] = link_roundtrip(_name)
+    SQL[f"{_name}_frame"] = link_sql(_name)
+QUERIES["dot11_frame"], SQL["dot11_frame"] = dot11_roundtrip, DOT11_SQL

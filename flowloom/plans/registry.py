@@ -89,7 +89,7 @@ def best_score(payload: Column, port: Column, l4: Column, enabled: dict[str, boo
         scored = F.array(*(F.struct(F.coalesce(d.detect(payload, port, l4), F.lit(0.0)).cast("double").alias("confidence"), F.lit(-d.order).alias("order"), F.lit(d.name).alias("protocol")) for d in here))
         best = F.array_max(F.filter(scored, lambda x: x["confidence"] > THRESHOLD))
         out = F.when(l4 == t, best) if out is None else out.when(l4 == t, best)
-    return out
+    return F.when(payload.isNotNull(), out)
 
 
 def field_map(fields: dict[str, Column]) -> Column:
