@@ -1,8 +1,8 @@
 """Fragments and TCP segments put together again.
 
 What needs no bytes (order, gaps, what is complete) is expressed with windows.
-The byte-exact result, where overlaps follow a policy, runs per flow in
-``applyInPandas``, on no more than ``DEPTH`` bytes of each flow's payload: what
+The byte-exact result, where overlaps follow a policy, reads rows sorted by
+flow in ``mapInPandas``, no more than ``DEPTH`` bytes of each flow's payload: what
 lies beyond the depth is cut before the shuffle, so an elephant flow stays small.
 """
 
@@ -107,38 +107,57 @@ def reassemble(segments: DataFrame, key: list[str] | None = None, *, policy: str
     policy: ``first`` or ``last`` to come wins where segments overlap and differ.
     """
     key = key or TCP_KEY
-    last_wins = {"first": False, "last": True}[policy]
-    kinds = {f.name: f.dataType.simpleString() for f in segments.schema.fields}
-    body = segments.select(*key, "seq", F.substring("payload", 1, depth).alias("payload"), "pkt_no")
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        s = Stream(last_wins, depth)
-        for seq, data in group.sort_values("pkt_no")[["seq", "payload"]].itertuples(index=False):
-            s.insert(int(seq), bytes(data) if data is not None else b"")
-        head = [group[k].iloc[0] for k in key]
-        row = [*head, bytes(s.buffer[: s.delivered]), s.delivered, s.segments, s.out_of_order, s.retransmit_bytes, s.overlap_bytes, s.retransmit_segments, s.overlap_segments, s.overlap_bytes > 0]
-        return pd.DataFrame([row], columns=[*key, *(x.split()[0] for x in _REASSEMBLED.split(", "))])
+    def finish(head: tuple, s: Stream, _: list) -> list[tuple]:
+        return [(*head, bytes(s.buffer[: s.delivered]), s.delivered, s.segments, s.out_of_order, s.retransmit_bytes, s.overlap_bytes, s.retransmit_segments, s.overlap_segments, s.overlap_bytes > 0)]
 
-    return body.groupBy(*key).applyInPandas(one, ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", " + _REASSEMBLED)
+    return _by_flow(segments, key, policy, depth, finish, _REASSEMBLED)
 
 
-def deliveries(segments: DataFrame, key: list[str] | None = None, *, policy: str = "first", depth: int = DEPTH) -> DataFrame:
-    """Per segment that makes bytes deliverable: pkt_no, data (the new contiguous bytes) and is_first_delivery."""
-    key = key or TCP_KEY
+def _by_flow(segments: DataFrame, key: list[str], policy: str, depth: int, finish, out: str) -> DataFrame:
+    """Run the segments of each flow, in order, through a ``Stream``; ``finish`` makes rows of (key, stream, deliveries).
+
+    Rows are dealt out and sorted by flow and read one after the other, so a
+    flow's segments are never gathered, and small flows cost no call each.
+    """
     last_wins = {"first": False, "last": True}[policy]
-    kinds = {f.name: f.dataType.simpleString() for f in segments.schema.fields}
     body = segments.select(*key, "seq", F.substring("payload", 1, depth).alias("payload"), "pkt_no")
+    schema = body.select(*key).limit(0).schema.simpleString().removeprefix("struct<").removesuffix(">")
+
+    def run(batches):
+        head, stream, fresh, rows = None, None, [], []
+        names = [*key, *(x.split()[0].strip("`") for x in out.split(", "))]
+
+        def batch():
+            return pd.DataFrame(rows, columns=names)
+
+        for b in batches:
+            for r in zip(*(b[c] for c in (*key, "pkt_no", "seq", "payload")), strict=True):
+                own = r[: len(key)]
+                if own != head:
+                    if stream is not None:
+                        rows += finish(head, stream, fresh)
+                    head, stream, fresh = own, Stream(last_wins, depth), []
+                first = stream.delivered == 0
+                if got := stream.insert(int(r[-2]), bytes(r[-1]) if r[-1] is not None else b""):
+                    fresh.append((r[-3], got, first))
+                if len(rows) >= 4096:
+                    yield batch()
+                    rows = []
+        if stream is not None:
+            rows += finish(head, stream, fresh)
+        if rows:
+            yield batch()
+
+    return body.repartition(*key).sortWithinPartitions(*key, "pkt_no").mapInPandas(run, ", ".join(schema.replace(":", " ").split(",")) + ", " + out)
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        s, rows = Stream(last_wins, depth), []
-        head = [group[k].iloc[0] for k in key]
-        for no, seq, data in group.sort_values("pkt_no")[["pkt_no", "seq", "payload"]].itertuples(index=False):
-            first = s.delivered == 0
-            if fresh := s.insert(int(seq), bytes(data) if data is not None else b""):
-                rows.append([*head, no, fresh, first])
-        return pd.DataFrame(rows, columns=[*key, "pkt_no", "data", "is_first_delivery"])
-
-    return body.groupBy(*key).applyInPandas(one, ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", pkt_no long, data binary, is_first_delivery boolean")
+
+def deliveries(segments: DataFrame, key: list[str] | None = None, *, policy: str = "first", depth: int = DEPTH) -> DataFrame:
+    """Per segment that makes bytes deliverable: pkt_no, data (the new contiguous bytes) and is_first_delivery."""
+    def finish(head: tuple, _: Stream, fresh: list) -> list[tuple]:
+        return [(*head, *f) for f in fresh]
+
+    return _by_flow(segments, key or TCP_KEY, policy, depth, finish, "pkt_no long, data binary, is_first_delivery boolean")
 
 
 def fragments_complete(fragments: DataFrame, key: list[str]) -> DataFrame:
