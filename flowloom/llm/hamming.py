@@ -75,8 +75,13 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, *, bits: int = 64,
         masks = F.from_json(F.lit(json.dumps(_masks(width, radius))), "array<int>")
         own = [F.struct(F.lit(s).alias("s"), _segment(F.col("q"), s, width).alias("w")) for s in range(segments)]
         probes = live.select("q", F.explode(F.array(*own)).alias("at")).select("q", "at.s", "at.w", F.explode(masks).alias("mask")).select("q", "s", F.col("w").bitwiseXOR(F.col("mask")).alias("v"))
-        found = probes.join(index, ["s", "v"]).select("q", "code").distinct()
-        found = found.select("q", "code", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance")).join(known, "code")
+        # the probes are many more than their few queries let Spark expect: neither side is to be broadcast
+        found = probes.hint("merge").join(index, ["s", "v"]).select("q", "code").distinct()
+        found = found.select("q", "code", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"))
+        # only the best can matter; their ids are looked up after that, by code
+        first = F.row_number().over(Window.partitionBy("q").orderBy("distance", "least"))
+        found = found.hint("merge").join(known.select("code", F.get("ids", F.lit(0)).alias("least")), "code").withColumn("n", first).where(F.col("n") <= k + 1).select("q", "code", "distance")
+        found = found.hint("merge").join(known, "code").select("code", "q", "distance", "ids")
         if nearest is not None:
             found = found.unionByName(nearest.join(live, "q", "left_semi")).dropDuplicates(["q", "code"])
         # a code gives one id at least, so the k + 1 best codes hold the k + 1 best ids
