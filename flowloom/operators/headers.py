@@ -63,7 +63,6 @@ class Http1:
         ok = F.instr(t, "\r\n") > 0
         line = first_line(t, True)
         reply = F.substring(line, 1, 5) == "HTTP/"
-        lines = header_lines(t, 64)
         words = F.split(line, " ", -1)
         at = F.instr(t, "\r\n\r\n")
         body = F.when(at > 0, F.substring(t, at + 4, F.length(t)))
@@ -76,9 +75,7 @@ class Http1:
             "http_status_code": when(ok & reply & (F.length(line) >= 12), F.substring(line, 10, 3)),
             "http_method": when(ok & ~reply, F.get(words, F.lit(0))),
             "http_path": when(ok & ~reply & (path != ""), path),
-            "http_host": when(ok, header(lines, "host")),
-            "http_user_agent": when(ok, header(lines, "user-agent")),
-            "http_content_type": when(ok, header(lines, "content-type")),
+            "*": when(ok, bind(header_lines(t, 64), lambda x: field_map({"http_host": header(x, "host"), "http_user_agent": header(x, "user-agent"), "http_content_type": header(x, "content-type")}))),
             "http_body_preview": when(ok, F.substring(body, 1, 200)),
             "http_body_length": when(ok, F.length(body).cast("string")),
         }
