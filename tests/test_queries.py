@@ -1,6 +1,7 @@
 """Every query with SQL against DuckDB, on the smallest tables."""
 
 import glob
+import math
 import os
 
 import duckdb
@@ -32,3 +33,14 @@ def test_query_matches_sql(spark, duck, name):
     got, want = QUERIES[name](spark, FOLDER).toPandas(), duck.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_byte_entropy_of_every_text(spark, tmp_path):
+    texts = ["ab", "", "x" * 2000 + "y" * 2000, "é" * 1500, "".join(chr(33 + i % 90) for i in range(30_000)), None]
+    rows = [(i, t, None if i == 0 else len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["entropy"] for r in QUERIES["byte_entropy_text"](spark, str(tmp_path)).collect()}
+    share = lambda b: [b.count(c) / len(b) for c in set(b)]
+    want = {i: round(-sum(p * math.log2(p) for p in share((t or "").encode())), 4) for i, t in enumerate(texts)}
+    assert got.keys() == want.keys()
+    assert all(abs(got[i] - want[i]) < 1e-4 for i in want)
