@@ -6,7 +6,7 @@ bytes) and line items for segments and fragments; hosts come from the URLs of pa
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.bytes import checksum16, entropy
@@ -221,8 +221,9 @@ _SEGS = f"(SELECT l_orderkey AS flow, l_linenumber AS pkt_no, l_partkey, {_OFF}
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "lineitem")
-    first = rows.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey")).alias("x")).select("l_orderkey", "l_linenumber", "x.*")
-    return first.select(F.col("l_orderkey").alias("flow"), F.col("l_linenumber").alias("pkt_no"), F.expr(_OFF).alias("off"), F.expr(_LEN).alias("len"))
+    # several line items of an order can have one line number: each is a segment, and the number of arrival is made unique
+    arrival = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    return rows.select(F.col("l_orderkey").alias("flow"), arrival.alias("pkt_no"), F.expr(_OFF).alias("off"), F.expr(_LEN).alias("len"))
 
 
 @query(f"SELECT flow, pkt_no, coalesce(off < max(off + len) OVER (PARTITION BY flow ORDER BY pkt_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS out_of_order FROM {_SEGS}")
@@ -258,7 +259,7 @@ def tcp_reassemble(spark, sf_dir):
 
 @query(f"SELECT flow, count(*) AS n_fragments, coalesce(max(CASE WHEN last THEN e END), -1) AS total_len, coalesce(min(off) = 0 AND max(CASE WHEN island = 0 THEN e END) >= max(CASE WHEN last THEN e END), false) AS complete FROM (SELECT *, sum(new) OVER (PARTITION BY flow ORDER BY off, e) AS island FROM (SELECT flow, off, off + len AS e, l_partkey % 3 = 0 AS last, CASE WHEN off > max(off + len) OVER (PARTITION BY flow ORDER BY off, off + len ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM {_SEGS})) GROUP BY flow")
 def frag_complete(spark, sf_dir):
-    rows = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey")).alias("x")).select("l_orderkey", "x.*")
+    rows = _table(spark, sf_dir, "lineitem")
     frags = rows.select(F.col("l_orderkey").alias("flow"), F.expr(_OFF).alias("offset"), F.expr(_LEN).alias("len"), (F.col("l_partkey") % 3 != 0).alias("more_fragments"))
     return reassembly.fragments_complete(frags, ["flow"]).withColumn("total_len", F.coalesce("total_len", F.lit(-1)))
 
