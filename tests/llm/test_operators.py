@@ -100,6 +100,36 @@ def test_similar_documents_are_verified(spark):
     assert got == {0: (0,), 1: (0,), 2: (2,), 3: (3,), 4: (3,)}
 
 
+def brute_groups(texts, n=5, similarity=0.8):
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
+    name = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(x & sets[j]) >= similarity * len(x | sets[j]) and name[i] != name[j]:
+                old, new = max(name[i], name[j]), min(name[i], name[j])
+                name = [new if k == old else k for k in name]
+    return {i: (k,) for i, k in enumerate(name)}
+
+
+def test_similar_documents_misses_none(spark):
+    texts = []
+    for seed in range(20):
+        w = words(100 + seed, 100)
+        texts += [" ".join(w), " ".join(w + ["ha"] * 80), " ".join(w + ["-", "|"] * 40)]
+    for seed in range(150):
+        w = words(200 + seed, 9)
+        texts += [" ".join(w), " ".join(w[:8]), " ".join(w[:7])]
+    for seed in range(60):
+        w = words(400 + seed, 40)
+        texts += [" ".join(w), " ".join([*w[:20], "new", *w[21:]]), " ".join(["new", *w[1:36]]), " ".join(w[3:])]
+    texts += ["ha " * k for k in range(1, 12)] + [None, ""]
+    got = by_id(similar_documents(docs(spark, texts)), "component_id")
+    assert got == brute_groups(texts)
+
+
 # --- lines
 
 
