@@ -17,7 +17,8 @@ then verified.
 
 Defined results: null text stays null; lines shorter than ``min_chars``, empty
 ones among them, are always kept, and lines shorter than ``min_edit_chars`` only
-match equal ones; a null doc_id comes before all others; rows equal in id and
+match equal ones (with ``min_chars`` 1, as op2 and the pipeline have it, all but
+empty lines take part); a null doc_id comes before all others; rows equal in id and
 text are at the same place, so each keeps what the other does; an empty table
 gives an empty result.  Columns of ``docs`` are kept, whatever their names.
 """

@@ -21,7 +21,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowloom.llm.lines import dedup_lines
 
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
-    done = dedup_lines(docs, removed_col="removed")
+    done = dedup_lines(docs, min_chars=1, removed_col="removed")
     return done.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
