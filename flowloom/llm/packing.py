@@ -61,9 +61,26 @@ def encoder(path: str):
     return tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def tokens(text: str | None, path: str) -> np.ndarray:
-    """Ids of a text and the end id, as unsigned 32-bit numbers."""
-    ids = encoder(path).encode_ordinary(text) if text else []
+@lru_cache(maxsize=2)
+def with_added(path: str):
+    """The library's own encoder for ``path``, and the added tokens of the file."""
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        return Tokenizer.from_file(path), [t["content"] for t in json.load(f)["added_tokens"]]
+
+
+def tokens(text: str | None, path: str, added: bool = False) -> np.ndarray:
+    """Ids of a text and the end id, as unsigned 32-bit numbers.
+
+    added: tokens that the file adds to its vocabulary, such as ``<|endoftext|>``,
+    get their own ids where a text holds them, as in the library's default mode;
+    otherwise they are plain text.
+    """
+    if added and text and any(t in text for t in with_added(path)[1]):
+        ids = with_added(path)[0].encode(text, add_special_tokens=False).ids
+    else:
+        ids = encoder(path).encode_ordinary(text) if text else []
     ids.append(END_ID)
     return np.array(ids, dtype="<u4")
 
@@ -176,7 +193,7 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
         for batch in chunks(batches, "text"):
             out: list[tuple] = []
             for i, t in enumerate(batch.column("text").to_pylist()):
-                ids = tokens(t, tokenizer)
+                ids = tokens(t, tokenizer, added=True)
                 for k, (start, length) in enumerate(pieces(len(ids), capacity)):
                     out.append((i, k, start, length, zlib.crc32(ids[start : start + length].tobytes())))
             row, piece, start, length, crc = (np.array(c, dtype=np.int64) for c in zip(*out, strict=True))

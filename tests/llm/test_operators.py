@@ -277,6 +277,20 @@ def test_pack(spark):
     assert pack(docs(spark, TEXTS).limit(0), PATH).count() == 0
 
 
+def test_added_tokens_as_the_library_does_by_default(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "one<|endoftext|><|endoftext|>\n two ", "<|endoftext|", "é<|endoftext|>" * 1500, "plain"]
+    want = [np.array([*t.encode(x, add_special_tokens=False).ids, 0], dtype="<u4") for x in texts]
+    assert 50256 in want[0]
+    got = pack(docs(spark, texts), PATH).collect()
+    for i, ids in enumerate(want):
+        own = sorted((r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got if r["doc_id"] == i)
+        assert [(s, n) for _, s, n, _ in own] == pieces(len(ids))
+        assert all(zlib.crc32(ids[s : s + n].tobytes()) == c for _, s, n, c in own)
+
+
 # --- passages and suffixes
 
 
