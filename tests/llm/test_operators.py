@@ -409,3 +409,13 @@ def test_fingerprints_of_slices(spark):
 
     whole = pa.array([BASE, None, "a b c d"])
     assert fingerprints(whole.slice(1, 2)).tolist() == [0, brute_print("a b c d")]
+
+
+def test_keys_without_digits(spark):
+    keys = ["AKIA" + "ABCDEFGHIJKLMNOP", "ghp_" + "abcdefghij" * 3 + "ABCDEF", "gho_" + "Q" * 36, "abcdef" * 6 + "abcd"]
+    texts = [f"the key {k} leaks" for k in keys] + ["no key here", "AKIA and ghp_ alone", "x" + "a" * 40]
+    got = by_id(pseudonymise(docs(spark, texts), "k"), "text", "n_replaced")
+    for i, k in enumerate(keys):
+        assert k not in got[i][0] and got[i][1] == 1, k
+        assert re.fullmatch(r"the key (AKIA[0-9A-Z]{16}|gh[po]_[A-Za-z0-9]{36}|[0-9a-f]{40}) leaks", got[i][0])
+    assert [got[i] for i in range(4, 7)] == [(t, 0) for t in texts[4:]]
