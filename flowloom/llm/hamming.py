@@ -32,12 +32,14 @@ from flowloom.llm.common import drop_staged, stage
 
 
 def sign_codes(df: DataFrame, id_col: str, vector: str, bits: int = 64) -> DataFrame:
-    """(id, code): the signs of the first ``bits`` components, 64 at most, as a long."""
+    """(id, code): the signs of the components, ``bits`` (64 at most) or fewer, as a long; a wider vector is an error."""
 
     def run(batches):
         for batch in batches:
             lists = batch.column("v")
             size = np.asarray(lists.value_lengths().fill_null(0))
+            if size.max(initial=0) > min(bits, 64):
+                raise ValueError(f"a vector has {size.max()} components, a code {min(bits, 64)} bits")
             start = np.cumsum(size) - size
             value = np.nan_to_num(np.asarray(lists.flatten().fill_null(0.0).cast(pa.float32())), nan=0.0)
             code = np.zeros(len(size), np.uint64)

@@ -369,6 +369,15 @@ def test_top_k(spark):
     assert top_k(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_vectors_wider_than_a_code_are_an_error(spark):
+    from pyspark.errors import PySparkException
+
+    wide = spark.createDataFrame([(1, [1.0] * 64), (2, [1.0] * 65)], "id long, v array<double>")
+    assert sign_codes(wide.where("id = 1"), "id", "v").count() == 1
+    with pytest.raises(PySparkException, match="65 components"):
+        sign_codes(wide, "id", "v").collect()
+
+
 # --- chat
 
 
