@@ -216,7 +216,7 @@ def arp_conflict(spark, sf_dir):
 # line items as segments: an order is a flow, the line number the order of arrival
 _OFF = "((l_partkey % 7) * 3)"
 _LEN = "(1 + l_suppkey % 9)"
-_SEGS = f"(SELECT l_orderkey AS flow, l_linenumber AS pkt_no, l_partkey, {_OFF} AS off, {_LEN} AS len FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS rn FROM lineitem) WHERE rn = 1)"
+_SEGS = f"(SELECT l_orderkey AS flow, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pkt_no, l_partkey, {_OFF} AS off, {_LEN} AS len FROM lineitem)"
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,12 +249,22 @@ def tcp_retransmit_bytes(spark, sf_dir):
     return reassembly.retransmitted_bytes(_segments(spark, sf_dir), ["flow"])
 
 
-@query(f"""SELECT flow, max(b.contiguous_end) AS contiguous_end, repeat('61', CAST(max(b.contiguous_end) AS INTEGER)) AS data_hex, count(*) AS segments FROM {_SEGS} s JOIN (SELECT flow, CAST(CASE WHEN min(off) = 0 THEN max(e) ELSE 0 END AS BIGINT) AS contiguous_end FROM (SELECT *, sum(new) OVER (PARTITION BY flow ORDER BY off, e) AS island FROM (SELECT flow, off, off + len AS e, CASE WHEN off > max(off + len) OVER (PARTITION BY flow ORDER BY off, off + len ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM (SELECT flow, off - (min(CASE WHEN pkt_no = fp THEN off END) OVER (PARTITION BY flow)) AS off, len FROM (SELECT *, min(pkt_no) OVER (PARTITION BY flow) AS fp FROM {_SEGS})) WHERE off >= 0)) WHERE island = 0 GROUP BY flow) b USING (flow) GROUP BY flow""")
+# bytes differ between segments that overlap, in one of five places
+_BYTE = "(97 + (off + x) % 23 + CASE WHEN (off + x + pkt_no) % 5 = 0 THEN 1 ELSE 0 END)"
+_BYTES = f"""(SELECT flow, pkt_no, off - base + x AS pos, {_BYTE} AS byte FROM (SELECT *, unnest(range(len)) AS x, first_value(off) OVER (PARTITION BY flow ORDER BY pkt_no) AS base FROM {_SEGS}) WHERE off >= base)"""
+_KNOWN = f"(SELECT *, first_value(byte) OVER w AS kept, row_number() OVER w AS nth FROM {_BYTES} WINDOW w AS (PARTITION BY flow, pos ORDER BY pkt_no))"
+
+
+@query(f"""SELECT flow, contiguous_end, data_hex, segments, CAST(retransmit_bytes AS BIGINT) AS retransmit_bytes, CAST(overlap_bytes AS BIGINT) AS overlap_bytes, overlap_bytes > 0 AS evasion
+FROM (SELECT flow, count(*) AS segments FROM {_SEGS} GROUP BY flow)
+JOIN (SELECT flow, count(*) FILTER (WHERE nth > 1 AND byte = kept) AS retransmit_bytes, count(*) FILTER (WHERE nth > 1 AND byte <> kept) AS overlap_bytes FROM {_KNOWN} GROUP BY flow) USING (flow)
+JOIN (SELECT flow, count(*) AS contiguous_end, string_agg(printf('%02X', byte), '' ORDER BY pos) AS data_hex FROM (SELECT *, row_number() OVER (PARTITION BY flow ORDER BY pos) AS n FROM {_KNOWN} WHERE nth = 1) WHERE pos = n - 1 GROUP BY flow) USING (flow)""")
 def tcp_reassemble(spark, sf_dir):
-    """Byte-exact, relative to the first segment seen; what comes before it is beyond the depth."""
-    segs = _segments(spark, sf_dir).select("flow", F.col("off").cast("long").alias("seq"), F.expr("cast(repeat('a', cast(len as int)) as binary)").alias("payload"), F.col("pkt_no").cast("long").alias("pkt_no"))
+    """Byte-exact, relative to the first segment seen; what comes before it is beyond the depth, and of bytes that differ the first stay."""
+    text = f"array_join(transform(sequence(0, cast(len as int) - 1), x -> char({_BYTE})), '')"
+    segs = _segments(spark, sf_dir).select("flow", F.col("off").cast("long").alias("seq"), F.expr(f"cast({text} as binary)").alias("payload"), F.col("pkt_no").cast("long").alias("pkt_no"))
     got = reassembly.reassemble(segs, ["flow"])
-    return got.select("flow", "contiguous_end", F.hex("data").alias("data_hex"), "segments")
+    return got.select("flow", "contiguous_end", F.hex("data").alias("data_hex"), "segments", "retransmit_bytes", "overlap_bytes", "evasion")
 
 
 @query(f"SELECT flow, count(*) AS n_fragments, coalesce(max(CASE WHEN last THEN e END), -1) AS total_len, coalesce(min(off) = 0 AND max(CASE WHEN island = 0 THEN e END) >= max(CASE WHEN last THEN e END), false) AS complete FROM (SELECT *, sum(new) OVER (PARTITION BY flow ORDER BY off, e) AS island FROM (SELECT flow, off, off + len AS e, l_partkey % 3 = 0 AS last, CASE WHEN off > max(off + len) OVER (PARTITION BY flow ORDER BY off, off + len ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM {_SEGS})) GROUP BY flow")
@@ -290,7 +300,7 @@ def checksum16_words(spark, sf_dir):
     return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", checksum16(payload).alias("checksum"))
 
 
-@query("SELECT doc_id, round(CASE WHEN octet_length(encode(text)) > 0 THEN (SELECT -sum(p * log2(p)) FROM (SELECT count(*) / length(h)::DOUBLE * 2 AS p FROM (SELECT unnest(list_transform(range(1, length(h), 2), lambda i: h[i:i + 1])) AS c) GROUP BY c)) ELSE 0 END, 4) AS entropy FROM (SELECT doc_id, text, hex(encode(text)) AS h FROM documents WHERE n_chars < 2000)")
+@query("SELECT doc_id, round(CASE WHEN octet_length(encode(text)) > 0 THEN (SELECT -sum(p * log2(p)) FROM (SELECT count(*) / length(h)::DOUBLE * 2 AS p FROM (SELECT unnest(list_transform(range(1, length(h), 2), lambda i: h[i:i + 1])) AS c) GROUP BY c)) ELSE 0 END, 4) AS entropy FROM (SELECT doc_id, text, hex(encode(text)) AS h FROM documents)")
 def byte_entropy_text(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.round(entropy(F.encode("text", "UTF-8")), 4).alias("entropy"))
 
