@@ -14,7 +14,7 @@ _SPACED = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+
 OP2 = """
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, i - 1 AS line_no, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
-f AS (SELECT line, min((doc_id, line_no)) AS first, length(line) AS n FROM l WHERE length(line) >= 8 GROUP BY line),
+f AS (SELECT line, min((doc_id, line_no)) AS first, length(line) AS n FROM l WHERE length(line) >= 1 GROUP BY line),
 e AS (SELECT line, first, n, left(line, n // 2) AS p, substring(line, n // 2 + 1) AS q, left(line, (n - 1) // 2) AS p1, substring(line, (n - 1) // 2 + 2) AS q1 FROM f WHERE n >= 20),
 c AS (
 SELECT a.line AS a, b.line AS b, a.first AS fa, b.first AS fb FROM e a JOIN e b ON a.n = b.n AND a.p = b.p AND a.line < b.line
