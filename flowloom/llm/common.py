@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -26,15 +28,30 @@ def partitions(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    The session's own setting is used; only where none is set (local tests),
-    a folder of this machine takes its place.
+    The session's own setting is used.  Only where none is set and all is one
+    process (local tests), a folder of this machine takes its place; on a cluster
+    that would part the tables by machine, so it is an error there.
     """
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file:///tmp/checkpoints"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+def unused(taken: list[str], *names: str) -> list[str]:
+    """Each of ``names``, lengthened until it is no column of ``taken`` (names are equal whatever their case)."""
+    known = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in known:
+            name += "_"
+        known.add(name.lower())
+        out.append(name)
+    return out
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -76,13 +93,13 @@ def without_members(df: DataFrame, hashed: Column, members: DataFrame, member: C
 
 
 def _member_test(df: DataFrame, hashed: Column, members: DataFrame, member: Column, keep: bool) -> DataFrame:
-    at = F.pmod(member, F.lit(FILTER_BITS))
-    pages = members.select(at.alias("at")).groupBy(F.floor(F.col("at") / _PAGE).alias("__page")).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(_PAGE))).alias("__bits"))
+    at_, page, bits = unused(df.columns, "at", "page", "bits")
+    own = F.pmod(member, F.lit(FILTER_BITS))
+    pages = members.select(own.alias(at_)).groupBy(F.floor(F.col(at_) / _PAGE).alias(page)).agg(F.bitmap_construct_agg(F.pmod(at_, F.lit(_PAGE))).alias(bits))
     names = [F.col(f"`{c}`") for c in df.columns]
-    at = F.pmod(hashed, F.lit(FILTER_BITS))
-    marked = df.withColumn("__at", at).join(F.broadcast(pages), F.floor(F.col("__at") / _PAGE) == F.col("__page"), "left")
-    byte = F.conv(F.hex(F.substring("__bits", (F.floor(F.pmod("__at", F.lit(_PAGE)) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    found = F.coalesce(F.getbit(byte, F.pmod("__at", F.lit(8)).cast("int")) == 1, F.lit(False))
+    marked = df.withColumn(at_, F.pmod(hashed, F.lit(FILTER_BITS))).join(F.broadcast(pages), F.floor(F.col(at_) / _PAGE) == F.col(page), "left")
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(F.pmod(at_, F.lit(_PAGE)) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, F.pmod(at_, F.lit(8)).cast("int")) == 1, F.lit(False))
     return marked.where(found if keep else ~found).select(*names)
 
 
