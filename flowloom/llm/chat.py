@@ -16,7 +16,8 @@ null layout, as have null and malformed records; null roles and texts are
 empty; equal records each give a row; a record without turns formats as an
 empty string; an empty table gives an empty result; other columns are kept.
 The formatted text of one conversation is one string, so a conversation must
-fit a row.
+fit a row; JSON text beyond Spark's size limit of a variant has null turns and
+null layout, as malformed text has, and such a struct is an error.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowloom.llm.common import unused
+
 TURN = "array<struct<role:string,text:string>>"
 _TYPES = r": (?:STRING|VOID|BOOLEAN|BIGINT|DOUBLE|FLOAT|DATE|TIMESTAMP(?:_NTZ)?|BINARY|UUID|VARIANT|DECIMAL\([0-9]+,[0-9]+\))"
 
@@ -131,13 +134,14 @@ def _turns(v: Column, layout: Layout) -> Column:
 def canonical_turns(df: DataFrame, record: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """``df`` with ``layout`` (name) and ``turns`` (array of role and text) from the record in column ``record``."""
     keep = [F.col(f"`{c}`") for c in df.columns if c not in ("layout", "turns")]
-    with_variant = df.select(*keep, as_variant(df, record).alias("__v"))
-    with_print = with_variant.withColumn("__fp", F.when(F.col("__v").isNotNull(), fingerprint(F.col("__v"))))
+    v_, fp_ = unused([*df.columns, "layout", "turns"], "variant", "fingerprint")
+    with_variant = df.select(*keep, as_variant(df, record).alias(v_))
+    with_print = with_variant.withColumn(fp_, F.when(F.col(v_).isNotNull(), fingerprint(F.col(v_))))
     name = turns = None
     for layout in layouts:
         for paths in layout.paths:
-            test = F.col("__fp") == F.xxhash64(F.lit(shape_of(paths)))
-            one = _turns(F.col("__v"), layout).cast(TURN)
+            test = F.col(fp_) == F.xxhash64(F.lit(shape_of(paths)))
+            one = _turns(F.col(v_), layout).cast(TURN)
             name = F.when(test, layout.name) if name is None else name.when(test, layout.name)
             turns = F.when(test, one) if turns is None else turns.when(test, one)
     return with_print.select(*keep, name.alias("layout"), turns.alias("turns"))
@@ -164,7 +168,8 @@ def format_turns(df: DataFrame, turns: str = "turns", *, learn: str = "assistant
     keep = [F.col(f"`{c}`") for c in df.columns if c not in ("formatted", "loss_spans")]
     coalesced = lambda c: F.coalesce(c, F.lit(""))
     parts = F.transform(F.col(f"`{turns}`"), lambda t: F.struct(F.concat(F.lit("<s>["), escape(coalesced(t["role"])), F.lit("]")).alias("head"), escape(coalesced(t["text"])).alias("body"), (coalesced(t["role"]) == learn).alias("learn")))
-    one = df.select(*keep, parts.alias("__parts"))
+    parts_ = unused([*df.columns, "formatted", "loss_spans"], "parts")[0]
+    one = df.select(*keep, parts.alias(parts_))
     none = F.array().cast("array<struct<from:int,length:int>>")
 
     def step(s, p):
@@ -173,8 +178,8 @@ def format_turns(df: DataFrame, turns: str = "turns", *, learn: str = "assistant
         span = F.array(F.struct(start.alias("from"), (end - start).alias("length")))
         return F.struct((end + 4).alias("at"), F.when(p["learn"], F.concat(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
 
-    spans = F.aggregate("__parts", F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda s: s["spans"])
-    text = F.array_join(F.transform("__parts", lambda p: F.concat(p["head"], p["body"], F.lit("</s>"))), "")
+    spans = F.aggregate(parts_, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda s: s["spans"])
+    text = F.array_join(F.transform(parts_, lambda p: F.concat(p["head"], p["body"], F.lit("</s>"))), "")
     return one.select(*keep, text.alias("formatted"), spans.alias("loss_spans"))
 
 

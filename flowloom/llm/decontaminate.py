@@ -2,15 +2,17 @@
 
 The patterns are windows of consecutive words of the test items.  A shift
 table over blocks of words skips positions at which no pattern can end, a
-bucket of the hashed end block selects patterns, and a direct comparison
-confirms an occurrence.  The items are searched in blocks of bounded size,
-each broadcast, so a benchmark of any size works and documents never shuffle
-(unless there are several blocks, whose results are joined by row).
+bucket of the hashed end block selects patterns, of which only those with the
+text's first block are taken, and a direct comparison confirms an occurrence.
+The items are searched in blocks of bounded size, each broadcast.  Documents
+never shuffle: of several blocks each is a pass of its own over the documents,
+with its tables alone in memory, and hands its findings on in the shared folder.
 
 Defined results: null text has no words; items without words match nothing; a
 null item id is named ``null``; items that share an id count as one; repeated
 documents give a row each; an empty table on either side gives no hits.
-Columns besides id and text are not read.
+Columns besides id and text are not read; with ``keep`` all come back as they
+were, whatever their names, but for one named ``contaminated``.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import chunks
+from flowloom.llm.common import chunks, drop_staged, stage, unused
 
 #: ASCII digits and letters, and everything beyond ASCII, make words.
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -42,7 +44,8 @@ class WuManber:
     length: int
     block: int = 2
     shift: dict = field(default_factory=dict)
-    bucket: dict = field(default_factory=lambda: defaultdict(list))
+    #: by last block, then by first block: the patterns and who owns them
+    bucket: dict = field(default_factory=lambda: defaultdict(lambda: defaultdict(dict)))
 
     def __post_init__(self):
         self.block = min(self.block, self.length)
@@ -52,12 +55,12 @@ class WuManber:
         for end in range(b, m + 1):
             key = pattern[end - b : end]
             self.shift[key] = min(self.shift.get(key, m - b + 1), m - end)
-        own = self.bucket[pattern[m - b :]]
-        for known, owners in own:
-            if known == pattern:
-                owners.add(owner)
-                return
-        own.append((pattern, {owner}))
+        self.bucket[pattern[m - b :]][pattern[:b]].setdefault(pattern, set()).add(owner)
+
+    def closed(self) -> WuManber:
+        """The same with plain tables, for broadcasting."""
+        self.bucket = {end: {start: list(own.items()) for start, own in by.items()} for end, by in self.bucket.items()}
+        return self
 
     def search(self, text: list[bytes]):
         """(start, owners) of every occurrence."""
@@ -70,9 +73,8 @@ class WuManber:
             if step:
                 at += step
                 continue
-            found = tuple(text[at - m : at])
-            for pattern, owners in bucket[key]:
-                if pattern == found:
+            for pattern, owners in bucket[key].get(tuple(text[at - m : at - m + b]), ()):
+                if pattern == tuple(text[at - m : at]):
                     yield at - m, owners
             at += 1
 
@@ -85,7 +87,7 @@ def build(items: list[tuple[str, str | None]], window: int) -> list[WuManber]:
         m = min(window, len(w))
         for i in range(len(w) - m + 1 if m else 0):
             by.setdefault(m, WuManber(m)).add(tuple(w[i : i + m]), item)
-    return list(by.values())
+    return [s.closed() for s in by.values()]
 
 
 def scan(text: str | None, searchers: list[WuManber]) -> tuple[int, np.ndarray, set[str]]:
@@ -104,12 +106,13 @@ def scan(text: str | None, searchers: list[WuManber]) -> tuple[int, np.ndarray,
 def item_blocks(items: DataFrame, item_id: str, text: str, block_bytes: int):
     """The items in lists of bounded size, read one partition at a time."""
     block, size = [], 0
-    for r in items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")), F.col(text).cast("string")).toLocalIterator():
-        block.append((r[0], r[1]))
-        size += len(r[1] or "")
-        if size >= block_bytes:
+    for r in items.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("null")), F.col(f"`{text}`").cast("string")).toLocalIterator():
+        own = len((r[1] or "").encode("utf-8", "surrogatepass"))
+        if block and size + own > block_bytes:
             yield block
             block, size = [], 0
+        block.append((r[0], r[1]))
+        size += own
     yield block
 
 
@@ -117,18 +120,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     """Per document: doc_id, n_words, n_hit, items (sorted ids), contaminated.
 
     keep: instead return ``docs``, all columns, with ``contaminated`` added.
-    Search tables take some 60 bytes for each byte of ``block_bytes``; each
-    further block of items adds a pass in the same stage.
+    Search tables take some 60 bytes for each byte of a block, and a block has
+    ``block_bytes`` or one item; each further block is a pass of its own.
     """
     names = [c for c in docs.columns if c != "contaminated"] if keep else [doc_id]
-    found = docs.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text}`").cast("string").alias("__text"), F.lit(None).cast("binary").alias("__hit"), F.array().cast("array<string>").alias("__items"), F.lit(0).cast("long").alias("__n"))
+    text_, hit_, items_, n_ = unused([*docs.columns, "contaminated"], "whole", "hit", "items", "n")
+    kept = [F.col(f"`{c}`") for c in names]
+    found = docs.select(*kept, F.col(f"`{text}`").cast("string").alias(text_), F.lit(None).cast("binary").alias(hit_), F.array().cast("array<string>").alias(items_), F.lit(0).cast("long").alias(n_))
     schema = found.schema
 
     def searching(tables):
         def run(batches):
-            for batch in chunks(batches, "__text"):
+            for batch in chunks(batches, text_):
                 ns, hits, owners = [], [], []
-                for t, before, known in zip(*(batch.column(c).to_pylist() for c in ("__text", "__hit", "__items")), strict=True):
+                for t, before, known in zip(*(batch.column(c).to_pylist() for c in (text_, hit_, items_)), strict=True):
                     n, hit, own = scan(t, tables.value)
                     if before is not None:
                         old = np.frombuffer(before, dtype=bool)
@@ -136,18 +141,27 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
                     ns.append(n)
                     hits.append(None if hit is None else hit.tobytes())
                     owners.append(sorted(own.union(known)))
-                kept = [batch.column(i) for i in range(len(names) + 1)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(hits, pa.binary()), pa.array(owners, pa.list_(pa.string())), pa.array(ns, pa.int64())], names=schema.names)
+                own = [batch.column(i) for i in range(len(names) + 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(hits, pa.binary()), pa.array(owners, pa.list_(pa.string())), pa.array(ns, pa.int64())], names=schema.names)
 
         return run
 
+    staged = tables = None
     for block in item_blocks(items, item_id, item_text, block_bytes):
-        found = found.mapInArrow(searching(docs.sparkSession.sparkContext.broadcast(build(block, window))), schema)
+        if tables is not None:
+            # another block: the pass before it is done, and its tables go
+            done = stage(found)
+            tables.destroy()
+            if staged is not None:
+                drop_staged(staged)
+            found = staged = done
+        tables = docs.sparkSession.sparkContext.broadcast(build(block, window))
+        found = found.mapInArrow(searching(tables), schema)
     if keep:
-        return found.select(*(F.col(f"`{c}`") for c in names), F.col("__hit").isNotNull().alias("contaminated"))
+        return found.select(*kept, F.col(hit_).isNotNull().alias("contaminated"))
     # the flags are a byte for each word, 0 or 1
-    n_hit = F.coalesce(F.length(F.replace(F.decode("__hit", "ISO-8859-1"), F.lit("\x00"), F.lit(""))), F.lit(0)).cast("long")
-    return found.select(F.col(f"`{doc_id}`"), F.col("__n").alias("n_words"), n_hit.alias("n_hit"), F.col("__items").alias("items"), F.col("__hit").isNotNull().alias("contaminated"))
+    n_hit = F.coalesce(F.length(F.replace(F.decode(hit_, "ISO-8859-1"), F.lit("\x00"), F.lit(""))), F.lit(0)).cast("long")
+    return found.select(F.col(f"`{doc_id}`"), F.col(n_).alias("n_words"), n_hit.alias("n_hit"), F.col(items_).alias("items"), F.col(hit_).isNotNull().alias("contaminated"))
 
 
 def items_digest(items):

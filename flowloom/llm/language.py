@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloom.llm.common import chunks
+from flowloom.llm.common import chunks, unused
 
 UNDETERMINED = "und"
 
@@ -137,12 +137,14 @@ class LanguageModel:
         keep = [f for f in df.schema.fields if f.name not in (lang_col, score_col)]
         schema = T.StructType([*keep, T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
 
+        whole = unused(schema.names, "whole")[0]
+
         def run(batches):
-            for batch in chunks(batches, "__text"):
-                langs, scores = model.value.score(batch.column("__text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+            for batch in chunks(batches, whole):
+                langs, scores = model.value.score(batch.column(whole).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-        return df.select(*(F.col(f"`{f.name}`") for f in keep), F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, schema)
+        return df.select(*(F.col(f"`{f.name}`") for f in keep), F.col(f"`{text}`").cast("string").alias(whole)).mapInArrow(run, schema)
 
 
 def held_out(doc_id, folds: int = 5):

@@ -6,19 +6,20 @@ keyed permutation of their own format, a Feistel network whose rounds are taken
 SHA-256 of the key.  A value always becomes the same pseudonym, in every
 document, two values never become one, and the pseudonym passes the same check.
 
-- cards: 12 to 18 digits are permuted and the check digit is worked out anew;
-- IBANs: the account part is permuted, and the two check digits are made to fit;
+- cards (13 to 19 digits together, in fours, or as 4-6-5): all digits but the last are permuted and the check digit is worked out anew;
+- IBANs, together or in groups of four: the account part is permuted, and the two check digits are made to fit;
 - IPv4: the 32-bit number is permuted;
 - social security numbers: the valid ones are permuted among themselves;
 - dates of 1900 to 2099 (yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy): days are permuted;
-- phone numbers: the digits but the country code are permuted;
-- e-mail addresses and access keys: letters and digits keep their kind.
+- phone numbers of ten digits (3-3-4), with or without a country code: the digits but the country code are permuted;
+- e-mail addresses, of any length, and access keys: letters and digits keep their kind; an address keeps its domain.
 
-What looks like a number but fails its check stays as it is.
+What looks like a number but fails its check stays as it is, and so does what
+is written in other shapes than these.
 
 Defined results: null text stays null, with 0 replacements; texts are read whole;
 repeated rows each give a row; an empty table gives an empty result; other
-columns are kept, but for ``count_col``, if there is one already.  A permutation
+columns are kept, whatever their names, but for ``count_col``, if there is one already.  A permutation
 can map a value to itself, once in as many cases as its format has values.
 """
 
@@ -27,17 +28,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.llm.common import unused
+
 _B, _E = r"(?<![\w])", r"(?![\w])"
 #: Patterns by kind, in order of precedence.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)++",
     "key": _B + r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|[0-9a-f]{40})" + _E,
-    "iban": _B + r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}" + _E,
+    "iban": _B + r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)" + _E,
     "phone": r"(?<![\w])(?:\+[0-9]{1,3}[ \-.]?)?\([0-9]{3}\) ?[0-9]{3}[ \-.]?[0-9]{4}" + _E + r"|(?<![\w.\-])(?:\+[0-9]{1,3}[ \-.])?[0-9]{3}[\-.][0-9]{3}[\-.][0-9]{4}(?![\w\-]|\.[0-9])",
     "ipv4": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])",
     "date": r"(?<![\w.\-/])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})(?![\w\-/]|\.[0-9])",
     "ssn": r"(?<![\w\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w\-])",
-    "card": r"(?<![\w\-])(?:[0-9]{4}([ \-]))[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![\w\-])|(?<![\w])[0-9]{13,19}" + _E,
+    "card": r"(?<![\w\-])(?:[0-9]{4}([ \-]))[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![\w\-])|(?<![\w\-])[0-9]{4}([ \-])[0-9]{6}\2[0-9]{5}(?![\w\-])|(?<![\w])[0-9]{13,19}" + _E,
 }
 #: What every text with a match holds: only keys can do without a digit and an @.
 _ANY = r"[0-9@]|AKIA|gh[pousr]_|[a-f]{40}"
@@ -63,19 +66,35 @@ def feistel_pair(key: Column, tag: str, left: Column, right: Column, a: int | Co
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, by a lambda over an array of one."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def feistel_text(key: Column, tag: str, value: Column) -> Column:
-    """A permutation of the strings with the same letters, capitals and digits in the same places; other characters stay."""
+    """A permutation of the strings with the same letters, capitals and digits in the same places; other characters stay.
+
+    A round shifts each character of one half by sixteen bits of a keystream: a
+    digest of the key, the round and the other half, and of it one more for
+    every sixteen characters.
+    """
     half = F.floor(F.length(value) / 2).cast("int")
 
     def shift(part: Column, other: Column, t: Column) -> Column:
-        def one(c, i):
-            k = _prf(key, tag, t, i, other)
-            code = F.ascii(c)
-            turn = lambda first, n: F.char(F.lit(first) + F.pmod(code - first + F.pmod(k, F.lit(n)), F.lit(n)))
-            return F.when(c.between("0", "9"), turn(48, 10)).when(c.between("a", "z"), turn(97, 26)).when(c.between("A", "Z"), turn(65, 26)).otherwise(c)
+        def stream(seed):
+            return F.transform(F.sequence(F.lit(0), F.floor((F.length(part) - 1) / 16).cast("int")), lambda b: F.sha2(F.concat_ws("|", seed, b.cast("string")), 256))
 
-        chars = F.transform(F.sequence(F.lit(1), F.length(part)), lambda i: F.substring(part, i, F.lit(1)))
-        return F.when(F.length(part) == 0, part).otherwise(F.array_join(F.transform(chars, one), ""))
+        def turned(digests):
+            def one(c, i):
+                k = F.conv(F.substring(F.get(digests, F.floor(i / 16).cast("int")), i % 16 * 4 + 1, F.lit(4)), 16, 10).cast("int")
+                code = F.ascii(c)
+                turn = lambda first, n: F.char(F.lit(first) + (code - first + k) % n)
+                return F.when(c.between("0", "9"), turn(48, 10)).when(c.between("a", "z"), turn(97, 26)).when(c.between("A", "Z"), turn(65, 26)).otherwise(c)
+
+            return F.array_join(F.transform(F.split(part, "", F.length(part)), one), "")
+
+        seed = F.sha2(F.concat_ws("|", key, F.lit(tag), t.cast("string"), other), 256)
+        return F.when(F.length(part) == 0, part).otherwise(_bound(seed, lambda x: _bound(stream(x), turned)))
 
     def step(s, t):
         left, right = F.substring(s, F.lit(1), half), F.substring(s, half + 1, F.length(s))
@@ -116,9 +135,17 @@ def _mod97(value: Column) -> Column:
 
 
 def _iban(key: Column, m: Column) -> Column:
-    account = feistel_text(key, "iban", F.substring(m, F.lit(5), F.length(m)))
-    bare = F.concat(F.substring(m, 1, 2), F.lit("00"), account)
-    return F.when(_mod97(m) == 1, F.concat(F.substring(m, 1, 2), F.lpad((F.lit(98) - _mod97(bare)).cast("string"), 2, "0"), account)).otherwise(m)
+    def fitted(value):
+        account = feistel_text(key, "iban", F.substring(value, F.lit(5), F.length(value)))
+        return _bound(account, lambda x: F.concat(F.substring(value, 1, 2), F.lpad((F.lit(98) - _mod97(F.concat(F.substring(value, 1, 2), F.lit("00"), x))).cast("string"), 2, "0"), x))
+
+    def spaced(parts):
+        """Groups of four; up to two more words of capitals may follow, which are no part of it."""
+        whole = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda n: F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - n, F.lit(0))), ""))
+        valid = F.get(F.filter(whole, lambda x: (F.length(x) >= 15) & (_mod97(x) == 1)), F.lit(0))
+        return _bound(valid, lambda x: F.when(x.isNotNull(), F.concat(F.regexp_replace(fitted(x), "(.{4})(?=.)", "$1 "), F.substring(m, F.length(F.regexp_replace(x, "(.{4})(?=.)", "$1 ")) + 1, F.length(m)))).otherwise(m))
+
+    return F.when(F.instr(m, " ") > 0, _bound(F.split(m, " "), spaced)).when(_mod97(m) == 1, fitted(m)).otherwise(m)
 
 
 def _ipv4(key: Column, m: Column) -> Column:
@@ -191,20 +218,21 @@ def pseudonymise(df: DataFrame, key: str, *, text: str = "text", count_col: str
 
     key: the secret that the permutation depends on.
     """
-    # the one group of a pattern is for a repeated separator; numbered by its place among all
+    # groups of a pattern are for repeated separators, numbered by their place among all
     pattern = "|".join(PATTERNS.values())
     keep = [c for c in df.columns if c != count_col]
+    whole_, found_, new_, done_, changed_ = unused([*df.columns, count_col or text], "whole", "found", "new", "done", "changed")
     body = F.col(f"`{text}`").cast("string")
     found = F.when(body.rlike(_ANY), F.regexp_extract_all(body, F.lit(pattern), F.lit(0)))
     names = [F.col(f"`{c}`") for c in keep if c != text]
-    one = df.select(*names, body.alias("__text"), found.alias("__found"))
+    one = df.select(*names, body.alias(whole_), found.alias(found_))
     # only rows with a match are split and put together again
-    new = F.when(F.size("__found") > 0, F.transform("__found", lambda m: pseudonym(m, F.lit(key))))
-    two = one.select("*", new.alias("__new"))
-    between = F.split("__text", pattern, -1)
-    parts = F.transform(F.arrays_zip(between.alias("a"), F.col("__new").alias("b")), lambda z: F.concat(z["a"], F.coalesce(z["b"], F.lit(""))))
-    done = F.when(F.size("__found") > 0, F.array_join(parts, "")).otherwise(F.col("__text"))
-    changed = F.when(F.size("__found") > 0, F.size(F.filter(F.arrays_zip(F.col("__found").alias("a"), F.col("__new").alias("b")), lambda z: z["a"] != z["b"]))).otherwise(0)
-    three = two.select(*names, done.alias("__done"), changed.cast("long").alias("__changed"))
-    out = [F.col("__done").alias(c) if c == text else F.col(f"`{c}`") for c in keep]
-    return three.select(*out, *([F.col("__changed").alias(count_col)] if count_col else []))
+    new = F.when(F.size(found_) > 0, F.transform(found_, lambda m: pseudonym(m, F.lit(key))))
+    two = one.select("*", new.alias(new_))
+    between = F.split(whole_, pattern, -1)
+    parts = F.transform(F.arrays_zip(between.alias("a"), F.col(new_).alias("b")), lambda z: F.concat(z["a"], F.coalesce(z["b"], F.lit(""))))
+    done = F.when(F.size(found_) > 0, F.array_join(parts, "")).otherwise(F.col(whole_))
+    changed = F.when(F.size(found_) > 0, F.size(F.filter(F.arrays_zip(F.col(found_).alias("a"), F.col(new_).alias("b")), lambda z: z["a"] != z["b"]))).otherwise(0)
+    three = two.select(*names, done.alias(done_), changed.cast("long").alias(changed_))
+    out = [F.col(done_).alias(c) if c == text else F.col(f"`{c}`") for c in keep]
+    return three.select(*out, *([F.col(changed_).alias(count_col)] if count_col else []))

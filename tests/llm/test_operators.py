@@ -428,3 +428,149 @@ def test_keys_without_digits(spark):
         assert k not in got[i][0] and got[i][1] == 1, k
         assert re.fullmatch(r"the key (AKIA[0-9A-Z]{16}|gh[po]_[A-Za-z0-9]{36}|[0-9a-f]{40}) leaks", got[i][0])
     assert [got[i] for i in range(4, 7)] == [(t, 0) for t in texts[4:]]
+
+
+# --- pseudonyms against the permutation in Python, and its inverse
+
+
+def turn_half(part, other, key, tag, t, sign):
+    seed = hashlib.sha256("|".join([key, tag, str(t), other]).encode()).hexdigest()
+    digests = [hashlib.sha256(f"{seed}|{b}".encode()).hexdigest() for b in range(-(-len(part) // 16))]
+    out = ""
+    for i, c in enumerate(part):
+        k = int(digests[i // 16][i % 16 * 4 : i % 16 * 4 + 4], 16) * sign
+        first, n = (48, 10) if c in "0123456789" else (97, 26) if "a" <= c <= "z" else (65, 26) if "A" <= c <= "Z" else (None, 1)
+        out += c if first is None else chr(first + (ord(c) - first + k) % n)
+    return out
+
+
+def plain_feistel(value, key, tag, back=False):
+    half = len(value) // 2
+    left, right = value[:half], value[half:]
+    for t in reversed(range(8)) if back else range(8):
+        if t % 2 == 0:
+            left = turn_half(left, right, key, tag, t, -1 if back else 1)
+        else:
+            right = turn_half(right, left, key, tag, t, -1 if back else 1)
+    return left + right
+
+
+def plain_pair(left, right, a, b, key, tag, back=False):
+    prf = lambda t, x: int(hashlib.sha256("|".join([key, tag, str(t), str(x)]).encode()).hexdigest()[:15], 16)
+    for t in reversed(range(8)) if back else range(8):
+        if t % 2 == 0:
+            left = (left + prf(t, right) * (-1 if back else 1)) % a
+        else:
+            right = (right + prf(t, left) * (-1 if back else 1)) % b
+    return left, right
+
+
+def test_pseudonyms_are_the_permutation_and_can_be_undone(spark):
+    rng = np.random.default_rng(9)
+    mails = ["".join(rng.choice(list("abcXYZ019._%+-"), n)) + "x@mail.example.com" for n in (1, 2, 5, 16, 17, 40, 79, 500)]
+    ips = [".".join(map(str, rng.integers(0, 256, 4))) for _ in range(30)]
+    phones = [f"({a}) {b}-{c}" for a, b, c in zip(rng.integers(100, 999, 20), rng.integers(100, 999, 20), rng.integers(1000, 9999, 20))]
+    texts = [*mails, *ips, *phones]
+    done = by_id(pseudonymise(docs(spark, texts), "k"), "text")
+    got = [done[i][0] for i in range(len(texts))]
+    for old, new in zip(mails, got):
+        own = old.split("@")[0]
+        assert new == plain_feistel(own, "k", "email") + "@mail.example.com"
+        assert plain_feistel(new.split("@")[0], "k", "email", back=True) == own
+    for old, new in zip(ips, got[len(mails) :]):
+        o, n = (list(map(int, x.split("."))) for x in (old, new))
+        assert plain_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "k", "ipv4") == (n[0] * 256 + n[1], n[2] * 256 + n[3])
+        assert plain_pair(n[0] * 256 + n[1], n[2] * 256 + n[3], 65536, 65536, "k", "ipv4", back=True) == (o[0] * 256 + o[1], o[2] * 256 + o[3])
+    for old, new in zip(phones, got[len(mails) + len(ips) :]):
+        assert new == plain_feistel(old, "k", "phone")
+        assert plain_feistel(new, "k", "phone", back=True) == old
+
+
+def test_more_shapes_of_numbers(spark):
+    ibans = ["GB82 WEST 1234 5698 7654 32", "BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00"]
+    texts = [f"pay {x} NEXT WEEK" for x in ibans] + ["amex 3782 822463 10005.", "GB83 WEST 1234 5698 7654 32", "no 3782 822463 10006"]
+    got = by_id(pseudonymise(docs(spark, texts), "k"), "text", "n_replaced")
+    for i, x in enumerate(ibans):
+        new = re.fullmatch(r"pay ([A-Z0-9 ]+) NEXT WEEK", got[i][0])[1]
+        assert [len(g) for g in new.split()] == [len(g) for g in x.split()] and new != x and got[i][1] == 1
+        bare = new.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+    new = re.fullmatch(r"amex (\d{4} \d{6} \d{5})\.", got[3][0])[1]
+    assert luhn(new) and new != "3782 822463 10005"
+    assert [got[i] for i in (4, 5)] == [(texts[i], 0) for i in (4, 5)]
+
+
+# --- names, nulls, empty tables and long texts, for every operator that keeps columns
+
+ODD = "`__uid` int, `__at` string, `whole` int, `Hit` int, `uid` string, `id` string, `gone` int, `lines` int"
+
+
+def odd_docs(spark, texts):
+    rows = [(i, t, 7, "at", 8, 9, "u", "i", 10, 11) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, " + ODD)
+
+
+@pytest.mark.parametrize("name", ["lines", "names", "items", "language", "turns", "formatted"])
+def test_columns_come_back_unchanged(spark, name):
+    same = "a line of more than twenty characters, twice"
+    d = odd_docs(spark, [same, same, None, "", "mail a.b@example.com", "{}"])
+    items = spark.createDataFrame([(1, "twenty characters")], "item_id long, text string")
+    turns = F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("text")))
+    got = {
+        "lines": lambda: dedup_lines(d),
+        "names": lambda: pseudonymise(d, "k"),
+        "items": lambda: decontaminate(d, items, keep=True, block_bytes=1),
+        "language": lambda: LanguageModel.fit(d.withColumn("lang", F.lit("x"))).predict(d),
+        "turns": lambda: chat.canonical_turns(d, "text"),
+        "formatted": lambda: chat.format_turns(d.withColumn("turns", turns)),
+    }[name]()
+    others = [c for c in d.columns if c not in ("doc_id", "text")]
+    assert [c for c in got.columns if c in others] == others
+    assert sorted(tuple(r) for r in got.select("doc_id", *others).collect()) == sorted(tuple(r) for r in d.select("doc_id", *others).collect())
+
+
+def test_empty_tables_and_long_texts(spark):
+    none = odd_docs(spark, ["x"]).limit(0)
+    assert pseudonymise(none, "k").count() == 0
+    assert sign_codes(spark.createDataFrame([], "id long, v array<double>"), "id", "v").count() == 0
+    long = "word " * 200_000
+    d = docs(spark, [long + "a.b@example.com", long])
+    assert by_id(pseudonymise(d, "k"), "n_replaced") == {0: (1,), 1: (0,)}
+    item = spark.createDataFrame([(1, "word a b example com")], "item_id long, text string")
+    assert by_id(decontaminate(d, item), "n_hit") == {0: (5,), 1: (0,)}
+    model = LanguageModel.fit(d.withColumn("lang", F.lit("x")))
+    assert by_id(model.predict(d), "lang_pred") == {0: ("x",), 1: ("x",)}
+
+
+def test_language_model_is_multinomial_naive_bayes(spark):
+    """Counts and posteriors against a plain dictionary of n-grams; 15 bits of hash seldom join two of so few."""
+    train = [("one", "abc abd ab"), ("one", "Bca"), ("two", "xyz zzy b"), ("two", "xx é")]
+    df = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(train)], "doc_id long, text string, lang string")
+    model = LanguageModel.fit(df, orders=(1, 2), bits=15)
+    grams = lambda t: [t[i : i + n] for n in (1, 2) for i in range(len(t) - n + 1)]
+    counts = {x: Counter(g for y, t in train if y == x for g in grams(t.lower())) for x in ("one", "two")}
+
+    def posterior(text):
+        total = {}
+        for x, c in counts.items():
+            size = sum(c.values()) + 0.5 * (1 << 15)
+            total[x] = np.log(sum(y == x for y, _ in train) / len(train)) + sum(np.log((c[g] + 0.5) / size) for g in grams(text.lower()))
+        best = max(sorted(total), key=total.get)
+        return best, 1 / sum(np.exp(v - total[best]) for v in total.values())
+
+    tests = ["abc", "zyx", "b", "É", "ab xy", "abcabcxyzxyz"]
+    got = by_id(model.predict(docs(spark, tests)), "lang_pred", "score")
+    for i, t in enumerate(tests):
+        best, score = posterior(t)
+        assert got[i][0] == best
+        assert abs(got[i][1] - score) < 1e-4
+
+
+def test_wide_lines_and_repeated_rows(spark):
+    line = "".join(np.random.default_rng(4).choice(list("abcdef gé😀"), 9000))
+    texts = [line, line[:4000] + "X" + line[4000:], line[1:], line[:10] + "Y" + line[11:], line[:10] + "ZZ" + line[11:]]
+    got = by_id(dedup_lines(docs(spark, texts), removed_col="gone"), "gone")
+    # the fourth differs from the first by one replaced character, the last from the fourth by two edits and from the first by two
+    assert got == {0: ([],), 1: ([0],), 2: ([0],), 3: ([0],), 4: ([],)}
+    same = docs(spark, [line, line], ids=[None, None])
+    assert [r["gone"] for r in dedup_lines(same, removed_col="gone").collect()] == [[], []]
