@@ -2,11 +2,19 @@
 
 Only the lengths of pieces decide how they pack, and there are at most
 ``capacity`` different lengths, so the search runs on the histogram of
-lengths, which is small whatever the corpus.  Around the largest piece left,
-bin completion enumerates undominated fillings by branch and bound: the
-incumbent is the best-fit filling, a branch is pruned once even its bound on the
-filled room can't beat the incumbent's waste, and a filling without waste ends
-the search.  A filling is then used as often as the counts allow.
+lengths, which is small whatever the corpus.
+
+The first incumbent takes the largest piece left and the filling around it that
+wastes least (best fit, where that wastes nothing; else found by the set of sums
+that can be reached, so no branch is a dead end), as often as the counts allow.
+If it has more sequences than a lower bound (of the sums, and of the pieces that
+can't share a sequence), bin completion goes on: the last 1, 2, 4, ... sequences
+are taken apart and packed anew by branch and bound, which enumerates the
+fillings around the largest piece in order of waste, leaves out dominated ones
+(where a longer piece that is left could stand for one or two of theirs), and
+prunes by the waste that fewer sequences allow.  ``nodes`` bounds this second part
+only: what is found by then is a whole packing, and is the best there is where
+the search ended before (``plan`` says which).
 
 Every piece finds its sequence by its rank among the pieces of its length:
 ranks come from counts of salted groups, so a length that a third of all
@@ -91,80 +99,158 @@ def pieces(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, length, capacity))]
 
 
-def best_filling(room: int, counts: np.ndarray, nodes: int = 4000) -> list[int]:
-    """Lengths that fill ``room`` with the least waste found, largest first, from the histogram ``counts``.
-
-    ``nodes`` bounds the search; what is found by then is at least the
-    best-fit filling.
-    """
-    sizes = np.flatnonzero(counts)[::-1]
-    sizes = sizes[sizes <= room]
-    # best fit: again and again the largest that fits
-    best, left, used = [], room, {}
-    for s in sizes.tolist():
-        while s <= left and used.get(s, 0) < counts[s]:
-            best.append(s)
-            used[s] = used.get(s, 0) + 1
-            left -= s
-    waste = left
-    if not waste or not len(sizes):
-        return best
-    held = [int(s) for s in sizes]
-    smallest = held[-1]
-    budget = nodes
-    # a single piece that fits exactly dominates every other filling, so it was found above
-    chosen: list[int] = []
-
-    def branch(at: int, left: int) -> bool:
-        nonlocal best, waste, budget
-        if left < waste:
-            best, waste = list(chosen), left
-        if not waste or budget <= 0:
+def reachable(sizes: list[int], counts: np.ndarray, room: int) -> list[int]:
+    """For each place in ``sizes``, and the end, the sums up to ``room`` that the sizes from there on can make, as bits of a number."""
+    mask = (1 << room + 1) - 1
+    out = [1]
+    for s in reversed(sizes):
+        sums, left, step = out[-1], min(int(counts[s]), room // s), 1
+        while left:
+            step = min(step, left)
+            sums |= sums << s * step & mask
+            left -= step
+            step *= 2
+        out.append(sums)
+    return out[::-1]
+
+
+def fillings(room: int, counts: np.ndarray, most_waste: int):
+    """Lists of lengths, largest first, that fill ``room`` but for ``most_waste`` at most, in order of waste; of one waste, those with longer pieces first."""
+    sizes = [int(s) for s in np.flatnonzero(counts)[::-1] if s <= room]
+    sums = reachable(sizes, counts, room)
+
+    def exact(at: int, left: int):
+        if not left:
+            yield []
+            return
+        s = sizes[at]
+        for n in range(min(int(counts[s]), left // s), -1, -1):
+            if sums[at + 1] >> left - n * s & 1:
+                for rest in exact(at + 1, left - n * s):
+                    yield [s] * n + rest
+
+    for waste in range(min(most_waste, room) + 1):
+        if sums[0] >> room - waste & 1:
+            yield from exact(0, room - waste)
+
+
+def best_filling(room: int, counts: np.ndarray) -> list[int]:
+    """Lengths that fill ``room`` with the least waste there can be, largest first, from the histogram ``counts``."""
+    best, left = [], room
+    for s in np.flatnonzero(counts[: room + 1])[::-1].tolist():
+        n = min(int(counts[s]), left // s)
+        best += [s] * n
+        left -= n * s
+    # best fit without waste can't be beaten
+    return next(fillings(room, counts, room)) if left else best
+
+
+def dominated(filling: list[int], room: int, counts: np.ndarray) -> bool:
+    """Whether a longer piece beside the filling could take the place of one or two of its pieces."""
+    left = counts.copy()
+    np.subtract.at(left, filling, 1)
+    longer = np.flatnonzero(left[: room + 1])
+    waste = room - sum(filling)
+    sums = {a for a in filling} | {a + b for i, a in enumerate(filling) for b in filling[i + 1 :]}
+    alone = set(filling)
+    for s in sums:
+        # as long as two together is as good as they are, and leaves shorter pieces to go elsewhere
+        at = np.searchsorted(longer, s + 1 if s in alone else s)
+        if at < len(longer) and longer[at] <= s + waste:
             return True
-        if left < smallest:
-            return False
-        i = at
-        while i < len(held):
-            s = held[i]
-            if s > left:
-                # skip to the first length that fits
-                i = max(i + 1, int(np.searchsorted(-sizes, -left)))
-                continue
-            if chosen.count(s) >= counts[s]:
-                i += 1
-                continue
-            # nothing fits beside s, and it wastes no less than the incumbent: go on with lengths that leave room for one more
-            if left - s < smallest and left - s >= waste:
-                i = max(i + 1, int(np.searchsorted(-sizes, -(left - smallest))))
-                continue
-            budget -= 1
-            chosen.append(s)
-            if branch(i, left - s):
-                return True
-            chosen.pop()
-            i += 1
-            if left - s >= smallest and budget <= 0:
-                return True
-        return False
-
-    branch(0, room)
-    return best
-
-
-def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """Fillings and how often each is used, for a histogram of lengths up to ``capacity``."""
-    counts = counts.astype(np.int64).copy()
-    out = []
-    while counts.any():
+    return False
+
+
+def lower_bound(counts: np.ndarray, capacity: int) -> int:
+    """Sequences that any packing needs: by the sum of all pieces, and for each least length by the pieces of at least that which can't share one."""
+    sizes = np.arange(len(counts))
+    number, weight = (np.concatenate([[0], np.cumsum(x)]) for x in (counts, counts * sizes))
+    span = lambda total, low, high: total[high + 1] - total[low]  # noqa: E731  lengths low to high
+    half = capacity // 2
+    least = np.arange(half + 1)
+    big, middle = span(number, capacity - least + 1, capacity), span(number, half + 1, capacity - least)
+    room = middle * capacity - span(weight, half + 1, capacity - least)
+    over = np.maximum(span(weight, least, half) - room, 0)
+    return int(max(-(-weight[-1] // capacity), (big + middle + -(-over // capacity)).max()))
+
+
+def repack(counts: np.ndarray, capacity: int, below: int, nodes: int) -> tuple[list[list[int]] | None, int]:
+    """A packing of all pieces into fewer than ``below`` sequences, if there is one, and the nodes that are left (0: the search did not end)."""
+    counts = counts.copy()
+    chosen: list[list[int]] = []
+    total = int((counts * np.arange(len(counts))).sum())
+
+    def children(counts: np.ndarray, slack: int):
+        nonlocal nodes
         largest = int(np.flatnonzero(counts)[-1])
         counts[largest] -= 1
-        filling = [largest, *best_filling(capacity - largest, counts)]
-        counts[largest] += 1
+        for f in fillings(capacity - largest, counts, slack):
+            nodes -= 1
+            if nodes <= 0:
+                return
+            if not dominated(f, capacity - largest, counts):
+                yield [largest, *f]
+
+    def put(filling: list[int], sign: int) -> None:
+        nonlocal total
+        np.add.at(counts, filling, sign)
+        total += sign * sum(filling)
+
+    slack = lambda: (below - 1 - len(chosen)) * capacity - total
+    stack = [children(counts.copy(), slack())] if slack() >= 0 else []
+    while stack:
+        filling = next(stack[-1], None)
+        if filling is None:
+            stack.pop()
+            if chosen:
+                put(chosen.pop(), 1)
+            continue
+        chosen.append(filling)
+        put(filling, -1)
+        if not total:
+            return chosen, nodes
+        if slack() >= 0 and len(chosen) + lower_bound(counts, capacity) < below:
+            stack.append(children(counts.copy(), slack()))
+        else:
+            put(chosen.pop(), 1)
+    return None, max(nodes, 0)
+
+
+def plan(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = 20_000) -> tuple[list[tuple[list[int], int]], bool]:
+    """Fillings and how often each is used, for a histogram of lengths up to ``capacity``; and whether no packing has fewer sequences."""
+    left = counts = counts.astype(np.int64)
+    left = left.copy()
+    out: list[tuple[list[int], int]] = []
+    while left.any():
+        largest = int(np.flatnonzero(left)[-1])
+        left[largest] -= 1
+        filling = [largest, *best_filling(capacity - largest, left)]
+        left[largest] += 1
         kinds, need = np.unique(filling, return_counts=True)
-        times = int((counts[kinds] // need).min())
-        counts[kinds] -= need * times
+        times = int((left[kinds] // need).min())
+        left[kinds] -= need * times
         out.append((filling, times))
-    return out
+    least, total, tail = lower_bound(counts, capacity), sum(n for _, n in out), 1
+    while total > least and nodes > 0:
+        # the last sequences are taken apart
+        rest, kept = min(tail, total), list(out)
+        loose = np.zeros(capacity + 1, np.int64)
+        while rest:
+            filling, times = kept.pop()
+            n = min(times, rest)
+            np.add.at(loose, filling, n)
+            rest -= n
+            if times > n:
+                kept.append((filling, times - n))
+        better, nodes = repack(loose, capacity, min(tail, total), nodes)
+        if better is not None:
+            out = kept + [(f, 1) for f in better]
+            total, tail = sum(n for _, n in out), 1
+        elif tail >= total:
+            return out, nodes > 0
+        else:
+            tail *= 2
+    return out, total == least
 
 
 def slots(fillings: list[tuple[list[int], int]]) -> np.ndarray:
@@ -206,7 +292,7 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
     counts = np.zeros(capacity + 1, np.int64)
     for r in groups.groupBy("length").agg(F.sum("count").alias("n")).collect():  # a row for each length, 2048 at most
         counts[r["length"]] = r["n"]
-    table = spark.sparkContext.broadcast(slots(plan(counts, capacity)))
+    table = spark.sparkContext.broadcast(slots(plan(counts, capacity)[0]))
     # pieces of a length in salted groups of a common number; an offset for each group
     from pyspark.sql import Window
 

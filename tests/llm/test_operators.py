@@ -15,7 +15,7 @@ from flowloom.llm.decontaminate import decontaminate
 from flowloom.llm.hamming import sign_codes, top_k
 from flowloom.llm.language import LanguageModel, held_out
 from flowloom.llm.lines import dedup_lines
-from flowloom.llm.packing import best_filling, pack, pieces, plan, tokens
+from flowloom.llm.packing import best_filling, lower_bound, pack, pieces, plan, tokens
 from flowloom.llm.passages import dedup_passages
 from flowloom.llm.pii import pseudonymise
 from flowloom.llm.simhash import fingerprints, near_duplicates, similar_documents, tile_forest, xxh64_spans
@@ -244,7 +244,7 @@ def test_plan_uses_every_piece_and_comes_near_the_bound():
     rng = np.random.default_rng(1)
     counts = np.bincount(rng.integers(1, 2049, 3000), minlength=2049)
     used, sequences = Counter(), 0
-    for filling, times in plan(counts):
+    for filling, times in plan(counts)[0]:
         assert sum(filling) <= 2048
         sequences += times
         for s in filling:
@@ -253,6 +253,37 @@ def test_plan_uses_every_piece_and_comes_near_the_bound():
     assert sequences <= 1.02 * -(-int((np.arange(2049) * counts).sum()) // 2048)
 
 
+def fewest(pieces, capacity):
+    """Fewest sequences, by trying every place for each piece."""
+    best = len(pieces)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(pieces):
+            best = len(rooms)
+            return
+        for r in {r: k for k, r in enumerate(rooms) if r >= pieces[i]}.values():
+            place(i + 1, [*rooms[:r], rooms[r] - pieces[i], *rooms[r + 1 :]])
+        place(i + 1, [*rooms, capacity - pieces[i]])
+
+    place(0, [])
+    return best
+
+
+def test_plan_is_the_best_there_is_for_few_pieces():
+    rng = np.random.default_rng(8)
+    for _ in range(150):
+        pieces = sorted((int(x) for x in rng.integers(3, 21, rng.integers(1, 11))), reverse=True)
+        counts = np.bincount(pieces, minlength=21)
+        out, proved = plan(counts, 20)
+        assert sum(n for _, n in out) == fewest(pieces, 20) and proved
+        assert sorted(s for f, n in out for s in f * n) == sorted(pieces)
+        assert all(sum(f) <= 20 for f, _ in out)
+        assert lower_bound(counts, 20) <= fewest(pieces, 20)
+
+
 def test_filling_beats_best_fit():
     counts = np.zeros(11, int)
     counts[[6, 5]] = [1, 2]
