@@ -15,8 +15,8 @@ A repeated byte string of at least ``length`` is found in two steps.
    one.
 
 Only the keys of segments are shuffled; the bytes are fetched for those that
-share a hash with a different one.  A hash with more segments than fit one task
-is dealt out as pairs of tiles, so no group is gathered whole.
+share a hash with a different one.  A hash with more segments, or longer ones,
+than are sorted at once is dealt out as pairs of tiles, so no group is gathered whole.
 
 Defined results: null text is empty; texts shorter than ``length`` keep every
 byte; a null doc_id is an id like any other; rows that are equal, or have the
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import Rolling, binary_array, chunks, cover, partitions, runs, stage, text_bytes, with_members, without_members
+from flowloom.llm.common import Rolling, binary_array, chunks, cover, drop_staged, partitions, runs, stage, text_bytes, with_members, without_members
 
 #: Bytes of the strings whose smallest hash a window belongs to.
 ANCHOR = 48
@@ -191,14 +191,17 @@ def dedup_suffixes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     kind = ["low", "c1", "c2"]
     segs = stage(keyed.mapInArrow(keys, _SEGS))
     kinds = segs.groupBy(*kind).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "uid", "first")).alias("one"), F.first("windows").alias("windows"), F.first("again").alias("again"))
-    groups = kinds.groupBy("low").agg(F.count(F.lit(1)).alias("kinds"), F.max("again").alias("any_again")).where("kinds > 1 or any_again")
+    # a table of its own: a join on a hash that very many kinds share can then be split
+    groups = kinds.groupBy("low").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("windows") + length - 1).alias("bytes"), F.max("again").alias("any_again")).where("kinds > 1 or any_again")
+    groups = stage(groups.select("low", F.ceil(F.greatest(F.col("kinds") / TILE, F.col("bytes") / SORT_BYTES)).cast("int").alias("tiles")))
     # kinds that may match another or themselves, and those that occur more than once; few beside all segments
-    shared = stage(with_members(kinds, F.col("low"), groups, F.col("low")).join(groups, "low").select(*kind, "one", F.col("one.uid").alias("uid"), F.col("windows").alias("size"), F.ceil(F.col("kinds") / TILE).cast("int").alias("tiles")))
+    shared = stage(with_members(kinds, F.col("low"), groups, F.col("low")).join(groups, "low").select(*kind, "one", F.col("one.uid").alias("uid"), F.col("windows").alias("size"), "tiles"))
+    drop_staged(groups)
     whole = kinds.where("n > 1").select(*kind, F.lit(0).cast("long").alias("from"), F.col("windows").alias("to"), "one")
 
     # the bytes of one segment of each kind; a large group goes to every pair of its tiles
-    texts = with_members(keyed.select("uid", "data"), F.col("uid"), shared, F.col("uid"))
-    fetched = shared.join(texts, "uid").withColumn("data", F.substring("data", (F.col("one.first") + 1).cast("int"), (F.col("size") + length - 1).cast("int")))
+    texts = with_members(keyed.select("uid", "doc_id", "data"), F.col("uid"), shared, F.col("uid"))
+    fetched = shared.join(texts, (shared["uid"] == texts["uid"]) & texts["doc_id"].eqNullSafe(F.col("one.doc_id"))).withColumn("data", F.substring("data", (F.col("one.first") + 1).cast("int"), (F.col("size") + length - 1).cast("int")))
     tile = F.pmod("c1", F.col("tiles")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.least(t, tile).cast("long") * (1 << 31) + F.greatest(t, tile))
     dealt = fetched.select(*kind, "one", "data", F.explode(pairs).alias("pair")).withColumn("part", F.pmod(F.xxhash64("low", "pair"), F.lit(parts)).cast("int"))
@@ -241,9 +244,10 @@ def dedup_suffixes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     hits = with_members(segs, F.col("c1"), marks, F.col("c1")).join(marks, kind)
     if keep_first:
         hits = hits.where(F.col("one").isNull() | ~F.struct("doc_id", "uid", "first").eqNullSafe(F.col("one")))
-    spans = stage(hits.groupBy("uid").agg(F.collect_list(F.struct((F.col("first") + F.col("from")).alias("from"), (F.col("first") + F.col("to") + length - 1).alias("to"))).alias("spans")))
+    spans = stage(hits.groupBy("uid", F.col("doc_id").alias("id")).agg(F.collect_list(F.struct((F.col("first") + F.col("from")).alias("from"), (F.col("first") + F.col("to") + length - 1).alias("to"))).alias("spans")))
     uid = F.col("uid")
-    cut = with_members(keyed, uid, spans, uid).join(spans, "uid", "left").select("doc_id", "data", "spans")
+    mine = with_members(keyed, uid, spans, uid)
+    cut = mine.join(spans, (mine["uid"] == spans["uid"]) & mine["doc_id"].eqNullSafe(F.col("id")), "left").select("doc_id", "data", "spans")
     left = without_members(keyed, uid, spans, uid).select("doc_id", "data", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
     return cut.unionByName(left).mapInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<`from`:long,`to`:long>>, kept binary")
 
