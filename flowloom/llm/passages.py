@@ -1,6 +1,6 @@
 """Substring dedup: Rabin-Karp hashes of every window of ``window`` words.
 
-Every window's hash goes to the bucket of its leading bits.  There the smallest
+Every window's hash goes to a bucket, dealt by another hash.  There the smallest
 document id of each hash is found, and the windows that start in a document
 with a larger id are sent back to their document, where they merge into maximal
 removal intervals.
@@ -11,8 +11,9 @@ it has seen itself, so a window that a third of all documents share reaches
 its bucket a few times per map task only.  The number of buckets follows
 ``spark.sql.shuffle.partitions``.  Texts cross the network once.
 
-Hashes have 64 bits; among n windows a wrong match is expected n * n / 2**65
-times (0.0004 at 120 million windows).
+Hashes have 64 bits, and only those of a bucket meet; among n windows in b
+buckets a wrong match is expected n * n / (b * 2**65) times (4e-6 at 120 million
+windows in 100 buckets, one at 2 million million in 100,000).
 
 Defined results: null and empty texts have no words; a text shorter than the
 window keeps all of its words; a null doc_id ranks behind all others, and null
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from flowloom.llm.common import SPACE, Rolling, chunks, cover, int_column, join_words, mix64, partitions, runs, text_bytes, word_spans
 
 NULL_ID = np.iinfo(np.int64).max
-_STEP = np.uint64(0x9FB21C651E98DF25)
+_STEP, _DEAL = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 #: Windows that a map task gathers before it combines and sends them.
 _FLUSH = 1 << 20
 
@@ -64,19 +65,21 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
-def window_hashes(data: np.ndarray, offsets: np.ndarray, window: int, rolling: Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, row and place of each window of words."""
+def window_hashes(data: np.ndarray, offsets: np.ndarray, window: int, rolling: Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, 32 bits of another hash (for the bucket), row and place of each window of words."""
     starts, ends, before = word_spans(data, offsets, SPACE)
     word = rolling.spans(rolling.prefix(data), starts, ends)
     n = max(0, len(word) - window + 1)
-    h = np.zeros(n, np.uint64)
+    h, g = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     for k in range(window):
         h *= _STEP
         h += word[k : k + n]
+        g *= _DEAL
+        g += word[k : k + n]
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(before))
     whole = np.flatnonzero(row[:n] == row[len(row) - n :])
     row = row[whole]
-    return mix64(h[whole]), row, whole - before[row]
+    return mix64(h[whole]), (mix64(g[whole]) >> np.uint64(32)).astype(np.uint32), row, whole - before[row]
 
 
 def _smallest(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -102,13 +105,13 @@ def _marks(uid: np.ndarray, place: np.ndarray, parts: int) -> Iterator[tuple]:
         yield int(part[at[0]]), 0, 0, 0, _pack(uid[at][new], count, step.astype(np.uint32))
 
 
-def _send(h: np.ndarray, uid: np.ndarray, doc: np.ndarray, place: np.ndarray, parts: int) -> Iterator[tuple]:
+def _send(h: np.ndarray, deal: np.ndarray, uid: np.ndarray, doc: np.ndarray, place: np.ndarray, parts: int) -> Iterator[tuple]:
     """Combine the windows a task has gathered; rows for the buckets (kind 1) and, known already, for the documents (kind 0)."""
     known = doc > _smallest(h, doc)
     yield from _marks(uid[known], place[known], parts)
     left = ~known
-    h, uid, doc, place = h[left], uid[left], doc[left], place[left]
-    part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint16 if parts < 65536 else np.int64)
+    h, deal, uid, doc, place = h[left], deal[left], uid[left], doc[left], place[left]
+    part = (deal * np.uint64(parts) >> np.uint64(32)).astype(np.uint16 if parts < 65536 else np.int64)
     order = np.argsort(part, kind="stable")
     bounds = np.searchsorted(part[order], np.arange(parts + 1))
     for p in range(parts):
@@ -197,8 +200,8 @@ def repeated_windows(docs: DataFrame, doc_id: str, text: str, window: int) -> tu
         size = 0
         for batch in chunks(batches, "data"):
             data, offsets = text_bytes(batch.column("data"))
-            h, row, place = window_hashes(data, offsets, window, rolling)
-            held.append((h, int_column(batch.column("uid"), 0)[row], int_column(batch.column("doc_id"), NULL_ID)[row], place))
+            h, deal, row, place = window_hashes(data, offsets, window, rolling)
+            held.append((h, deal, int_column(batch.column("uid"), 0)[row], int_column(batch.column("doc_id"), NULL_ID)[row], place))
             size += len(h)
             if size >= _FLUSH:
                 yield from _emit(gathered())
