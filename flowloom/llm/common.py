@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on; temporaries are some 20 times as large.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -103,6 +105,13 @@ def _member_test(df: DataFrame, hashed: Column, members: DataFrame, member: Colu
     return marked.where(found if keep else ~found).select(*names)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker is used again, and what one task freed would count beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` (string or binary) has about ``limit`` bytes in each.
 
@@ -119,6 +128,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             to = max(at + 1, int(np.searchsorted(ends, done + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

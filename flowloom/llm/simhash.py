@@ -28,14 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import SPACE, chunks, drop_staged, join_words, lower_ascii, mix64, partitions, stage, text_bytes, unused, with_members, without_members, word_spans
+from flowloom.llm.common import SPACE, chunks, drop_staged, give_back, join_words, lower_ascii, mix64, partitions, stage, text_bytes, unused, with_members, without_members, word_spans
 
 SEED = 42
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 #: Fingerprints in a tile at most, about; and comparisons made at once.
 TILE = 1 << 18
-_AT_ONCE = 1 << 21
+_AT_ONCE = 1 << 20
 
 #: Shingles of the sample that tells rare from common ones, about; and bits of the hash by which it counts.
 SAMPLED = 1 << 23
@@ -306,6 +306,7 @@ def links(prints: DataFrame, radius: int, words: list[str], apart: str | None =
 
         for a, b in all_done():
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        give_back()
 
     return dealt.repartitionById(parts, "task").sortWithinPartitions("x", "y").drop("task").mapInArrow(compare, "a long, b long")
 
@@ -435,7 +436,7 @@ def rare_pairs(body: DataFrame, nodes: DataFrame, shingle: int, similarity: floa
         done = np.cumsum(number)
         at = 0
         while at < len(rows):
-            to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + _AT_ONCE, side="right")))
+            to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + _AT_ONCE // 4, side="right")))
             n = number[at:to]
             i = np.repeat(np.arange(at, to), n)
             j = np.repeat(after[at:to] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -460,6 +461,7 @@ def rare_pairs(body: DataFrame, nodes: DataFrame, shingle: int, similarity: floa
             yield from apart(rows[:cut])
             left = rows[cut:]
         yield from apart(left)
+        give_back()
 
     found = held.select("key", "part", "node", "size").mapInArrow(pairs, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").count()
     rest = lambda n: F.ceil(similarity * F.col(n) - 1e-6) - 1
