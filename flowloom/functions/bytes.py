@@ -1,7 +1,8 @@
 """Byte access and formatting as Column expressions.
 
-Offsets and sizes count from 0 and may be ints or Columns.  All of it stays in
-generated JVM code; there is no Python on the data path.
+Offsets and sizes count from 0 and may be ints or Columns.  There is no Python on
+the data path.  What folds or maps over an array (``bind``, ``tlvs``, ``entropy``,
+``checksum16``) is evaluated by Spark's interpreter, the rest in generated code.
 """
 
 from __future__ import annotations
@@ -134,13 +135,14 @@ def name_of(value: Column, names: dict, otherwise: str | None = "Unknown") -> Co
     return out.otherwise(F.lit(otherwise))
 
 
-def tlvs(data: Column, start: Num, end: Num, *, kind: int, size: int, whole: bool = False, pad: int = 1, limit: int = 32, skip: int | None = None, stop: int | None = None, little: bool = False) -> Column:
+def tlvs(data: Column, start: Num, end: Num, *, kind: int, size: int, whole: bool = False, pad: int = 1, limit: int | None = None, skip: int | None = None, stop: int | None = None, little: bool = False) -> Column:
     """Type-length-value items from ``start`` to ``end`` as array<struct<t, at, n>>: type, offset and length of the value.
 
     kind, size: bytes of the type and of the length; whole: the length counts
     the header; pad: values fill a multiple of so many bytes; skip: a type of one
     byte without a length; stop: a type that ends the list.  The walk ends at
-    an item that doesn't fit.
+    an item that doesn't fit.  It takes as many steps as items can fit, or
+    ``limit`` where a protocol's own bound is to hold.
     """
     head = kind + size
     end = _col(end)
@@ -164,7 +166,9 @@ def tlvs(data: Column, start: Num, end: Num, *, kind: int, size: int, whole: boo
         return F.when(s["done"], s).otherwise(out)
 
     first = F.struct(start.alias("pos"), F.lit(False).alias("done"), none.alias("out"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(limit)), first, step, lambda s: s["out"])
+    least = head if skip is None and stop is None else 1
+    most = F.least(F.greatest(F.ceil((end - start) / least), F.lit(1)), F.lit(65536)) if limit is None else F.lit(limit)
+    return F.aggregate(F.sequence(F.lit(1), F.coalesce(most, F.lit(1)).cast("int")), first, step, lambda s: s["out"])
 
 
 def item(items: Column, kind: int, test=None) -> Column:

@@ -17,7 +17,7 @@ def client_hello_name(body: Column) -> Column:
     def extensions(at):
         end = at + 2 + be(body, at, 2)
         ok = end <= length(body)
-        found = tlvs(body, F.when(ok, at + 2).otherwise(0), F.when(ok, end).otherwise(0), kind=2, size=2, limit=48)
+        found = tlvs(body, F.when(ok, at + 2).otherwise(0), F.when(ok, end).otherwise(0), kind=2, size=2)
         return bind(item(found, 0), lambda x: from_item(body, x, name))
 
     suites = be(body, 34, 1) + 35

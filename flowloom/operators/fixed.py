@@ -110,7 +110,7 @@ class Ntp:
 
         b, n = be(p, 0, 1), length(p)
         # an extension shorter than 16 bytes ends the list
-        every = tlvs(p, 48, n, kind=2, size=2, whole=True, limit=8)
+        every = tlvs(p, 48, n, kind=2, size=2, whole=True)
         short = F.array_position(F.transform(every, lambda x: x["n"] < 12), True)
         ext = F.when(n > 48, F.when(short > 0, F.slice(every, F.lit(1), (short - 1).cast("int"))).otherwise(every))
         end = F.coalesce(F.element_at(F.when(F.size(ext) > 0, ext), -1)["at"] + F.element_at(F.when(F.size(ext) > 0, ext), -1)["n"], F.lit(48))

@@ -2,6 +2,7 @@
 
 ``decode_frames`` turns captured frames (``link_type``, ``data``) into one row
 each with the layers as structs; rows that no rule takes have ``l3_kind`` null.
+Of 802.11 frames, with or without a radiotap header, the payload is the frame.
 """
 
 from __future__ import annotations
@@ -119,7 +120,7 @@ def parse_tcp(p: Column) -> Column:
     """struct(src_port, dst_port, seq, ack, flags, window, mss, window_scale, sack_permitted, ts_value, ts_echo, sack_blocks, payload); null if malformed."""
     n, head = length(p), bits(be(p, 12, 1), 4, 15) * 4
     ok = (n >= 20) & (head >= 20) & (head <= n)
-    found = tlvs(p, 20, F.when(ok, head).otherwise(20), kind=1, size=1, whole=True, skip=1, stop=0, limit=40)
+    found = tlvs(p, 20, F.when(ok, head).otherwise(20), kind=1, size=1, whole=True, skip=1, stop=0)
     return bind(found, lambda x: _tcp_struct(p, n, head, ok, x))
 
 
@@ -194,7 +195,9 @@ def parse_ip(p: Column) -> Column:
 
 def link_payload(link_type: Column, data: Column) -> Column:
     """struct(ethertype, payload): what is inside the frame of each link type; null where there is nothing to read."""
-    ethernet = F.when(length(data) >= 14, F.struct(be(data, 12, 2).alias("ethertype"), cut(data, 14, length(data)).alias("payload")))
+    # below 0x0600 the type is the length of what follows, without the padding
+    kind = be(data, 12, 2)
+    ethernet = F.when(length(data) >= 14, F.struct(kind.alias("ethertype"), cut(data, 14, F.when(kind < 0x0600, kind.cast("int")).otherwise(length(data))).alias("payload")))
     version = bits(be(data, 0, 1), 4, 15)
     raw = F.when(version.isin(4, 6), F.struct(F.when(version == 4, 0x0800).otherwise(0x86DD).cast("long").alias("ethertype"), data.alias("payload")))
     sll = F.when(length(data) >= 16, F.struct(be(data, 14, 2).alias("ethertype"), cut(data, 16, length(data)).alias("payload")))
@@ -224,7 +227,7 @@ def decode_frames(packets: DataFrame, data: str = "data", link_type: str = "link
     for k, v in IP_PROTOCOLS.items():
         named = F.when(F.col("ip.proto") == k, v) if named is None else named.when(F.col("ip.proto") == k, v)
     beside = F.when(F.col("l3_kind") == "arp", "ARP").when(F.col("l3_kind") == "mpls", "MPLS").when(F.col("l3_kind") == "lldp", "LLDP").when(F.col("l3_kind") == "wol", "WoL")
-    payload = F.coalesce(F.col("tcp.payload"), F.col("udp.payload"), F.when(~F.col("ip.proto").isin(6, 17), F.col("ip.payload")), F.when(F.col("l3_kind").isin("ipv4", "ipv6"), F.lit(None)).otherwise(body))
+    payload = F.coalesce(F.col("tcp.payload"), F.col("udp.payload"), F.when(~F.col("ip.proto").isin(6, 17), F.col("ip.payload")), F.when(F.col(link_type) == 105, d).when(F.col(link_type) == 127, radiotap_payload(d)), F.when(F.col("l3_kind").isin("ipv4", "ipv6"), F.lit(None)).otherwise(body))
     return (
         four.withColumn("l4_proto", F.coalesce(named, beside))
         .withColumn("src_port", F.coalesce("tcp.src_port", "udp.src_port"))

@@ -75,7 +75,7 @@ class Radius:
 
     def fields(p, port, l4):
         end = F.least(be(p, 2, 2), length(p)).cast("int")
-        return {"*": bind(tlvs(p, 20, end, kind=1, size=1, whole=True, limit=128), lambda a: field_map(Radius._of(p, a, end)))}
+        return {"*": bind(tlvs(p, 20, end, kind=1, size=1, whole=True), lambda a: field_map(Radius._of(p, a, end)))}
 
     def _of(p, a, end):
         whole = lambda d, at, n: text(d, at, n)
@@ -99,13 +99,13 @@ class Dhcp:
         return (length(p) >= 240) & be(p, 0, 1).isin(1, 2) & (be(p, 236, 4) == 0x63825363)
 
     def fields(p, port, l4):
-        return {"*": bind(tlvs(p, 240, length(p), kind=1, size=1, skip=0, stop=255, limit=200), lambda o: field_map(Dhcp._of(p, o)))}
+        return {"*": bind(tlvs(p, 240, length(p), kind=1, size=1, skip=0, stop=255), lambda o: field_map(Dhcp._of(p, o)))}
 
     def _of(p, o):
         sized = lambda n: lambda x: x["n"] == n
         whole = lambda d, at, n: text(d, at, n)
         auth = last(o, 90, lambda x: x["n"] >= 11)
-        relay = bind(last(o, 82), lambda x: F.when(x.isNotNull(), tlvs(p, x["at"], x["at"] + x["n"], kind=1, size=1, limit=8)))
+        relay = bind(last(o, 82), lambda x: F.when(x.isNotNull(), tlvs(p, x["at"], x["at"] + x["n"], kind=1, size=1)))
         shown = lambda d, at, n: F.when(text(d, at, n).rlike(r"^[\x20-\x7e]+$"), text(d, at, n)).otherwise(hexed(d, at, n))
         return {
             "dhcp_op": F.when(be(p, 0, 1) == 1, "BOOTREQUEST").otherwise("BOOTREPLY"),
@@ -128,7 +128,7 @@ class Dhcp6:
         return (length(p) >= 4) & be(p, 0, 1).between(1, 11)
 
     def fields(p, port, l4):
-        o = tlvs(p, 4, length(p), kind=2, size=2, limit=16)
+        o = tlvs(p, 4, length(p), kind=2, size=2)
         direct = ~be(p, 0, 1).isin(12, 13)
         some = direct & (F.size(o) > 0)
         return {
@@ -147,7 +147,7 @@ class Stun:
 
     def fields(p, port, l4):
         end = be(p, 2, 2) + 20
-        return {"*": bind(tlvs(p, 20, F.least(end, length(p)), kind=2, size=2, pad=4, limit=32), lambda a: field_map(Stun._of(p, a, end)))}
+        return {"*": bind(tlvs(p, 20, F.least(end, length(p)), kind=2, size=2, pad=4), lambda a: field_map(Stun._of(p, a, end)))}
 
     def _of(p, a, end):
         v4 = lambda x: (x["n"] >= 8) & (be(p, x["at"] + 1, 1) == 1)
@@ -212,7 +212,7 @@ class Eigrp:
         return when((length(p) >= 20) & (be(p, 0, 1) == 2) & be(p, 1, 1).isin(1, 2, 3, 4, 5, 6, 7, 10, 11), F.lit(0.9)).otherwise(0.0)
 
     def fields(p, port, l4):
-        a = tlvs(p, 20, length(p), kind=2, size=2, whole=True, limit=32)
+        a = tlvs(p, 20, length(p), kind=2, size=2, whole=True)
         x = F.element_at(F.when(F.size(a) > 0, a), -1)
         left = length(p) - F.coalesce(x["at"] + x["n"], F.lit(20))
         return {
@@ -236,7 +236,7 @@ class Pim:
     def fields(p, port, l4):
         t = bits(be(p, 0, 1), 0, 15)
         hello = t == 0
-        a = tlvs(p, 4, length(p), kind=2, size=2, limit=16)
+        a = tlvs(p, 4, length(p), kind=2, size=2)
         hold, delay = last(a, 1, lambda x: x["n"] == 2), last(a, 20, lambda x: x["n"] == 4)
         return {
             "pim_version": number(bits(be(p, 0, 1), 4, 15)),
@@ -255,7 +255,7 @@ def _user_adaptation(name: str, table: dict, score: float):
         return F.when((length(p) >= 8) & (be(p, 0, 1) == 1) & be(p, 2, 2).isin(*names) & (be(p, 4, 4) == length(p)), score).otherwise(0.0)
 
     def parts(p):
-        return name_of(be(p, 2, 2), names), tlvs(p, 8, length(p), kind=2, size=2, whole=True, pad=4, limit=16)
+        return name_of(be(p, 2, 2), names), tlvs(p, 8, length(p), kind=2, size=2, whole=True, pad=4)
 
     return detect, parts
 
@@ -301,7 +301,7 @@ class Sctp:
 
     def chunks(p):
         """Chunks as type (with flags, two bytes), offset of the value and its length."""
-        return tlvs(p, 12, length(p), kind=2, size=2, whole=True, pad=4, limit=32)
+        return tlvs(p, 12, length(p), kind=2, size=2, whole=True, pad=4)
 
     def fields(p, port, l4):
         """Fields of every chunk; each chunk's are a map, and the maps are joined."""
@@ -335,7 +335,7 @@ class Ldp:
         return (length(p) >= 14) & (be(p, 0, 2) == 1) & (be(p, 2, 2) >= 6) & (be(p, 2, 2) + 4 <= length(p) + 8)
 
     def fields(p, port, l4):
-        return {"ldp_router_id": ipv4(p, 4), "ldp_label_space": number(be(p, 8, 2)), "*": bind(tlvs(p, 10, length(p), kind=2, size=2, limit=16), lambda x: Ldp._messages(p, x))}
+        return {"ldp_router_id": ipv4(p, 4), "ldp_label_space": number(be(p, 8, 2)), "*": bind(tlvs(p, 10, length(p), kind=2, size=2), lambda x: Ldp._messages(p, x))}
 
     def _messages(p, every):
         """Fields of the messages, and of the first label mapping among them."""
@@ -352,7 +352,7 @@ class Ldp:
                     "parse_warning": when((left >= 8) & (F.size(m) < 16), F.lit("ldp_message_len_exceeds_buffer")),
                     "ldp_message_type": when(F.size(m) > 0, name_of(kind(F.get(m, F.lit(0))), LDP_TYPES)),
                     "ldp_message_count": number(F.size(m)),
-                    "*": bind(mapping, lambda x: F.when(x.isNotNull(), bind(tlvs(p, x["at"] + 4, x["at"] + x["n"], kind=2, size=2, limit=16), lambda a: Ldp._mapping(p, a)))),
+                    "*": bind(mapping, lambda x: F.when(x.isNotNull(), bind(tlvs(p, x["at"] + 4, x["at"] + x["n"], kind=2, size=2), lambda a: Ldp._mapping(p, a)))),
                 }
             )
 

@@ -45,7 +45,7 @@ def dot11(p: Column) -> Column:
     body = cut(p, 24, length(p))
     sealed = b.bitwiseAND(F.lit(0x40)) != 0
     beacon, auth, data = std & (kind == 0) & (sub == 8), std & (kind == 0) & (sub == 11), std & (kind == 2) & (sub == 0)
-    ssid = bind(body, lambda d: bind(last(tlvs(d, 12, length(d), kind=1, size=1, limit=48), 0), lambda x: from_item(d, x, lambda e, at, n: text(e, at, n))))
+    ssid = bind(body, lambda d: bind(last(tlvs(d, 12, length(d), kind=1, size=1), 0), lambda x: from_item(d, x, lambda e, at, n: text(e, at, n))))
     open_auth = auth & ~sealed & (length(body) >= 6)
     snap = data & ~sealed & (length(body) >= 8) & (hexed(body, 0, 6) == "aaaa03000000")
     ether, inner = be(body, 6, 2), cut(body, 8, length(body))
@@ -190,7 +190,7 @@ def lacp(p: Column) -> Column:
     def named(a):
         return F.map_concat(side(a, 1, "actor"), side(a, 2, "partner"))
 
-    return F.when((length(p) >= 2) & (be(p, 0, 2) == 0x0101), bind(tlvs(p, 2, length(p), kind=1, size=1, whole=True, stop=0, limit=8), named))
+    return F.when((length(p) >= 2) & (be(p, 0, 2) == 0x0101), bind(tlvs(p, 2, length(p), kind=1, size=1, whole=True, stop=0), named))
 
 
 def _lacp_info(p: Column, x: Column, who: str) -> Column:
@@ -227,7 +227,7 @@ def pppoe(p: Column, discovery: bool) -> Column:
                 }
             )
 
-        out["*"] = bind(tlvs(body, 0, length(body), kind=2, size=2, limit=16), named)
+        out["*"] = bind(tlvs(body, 0, length(body), kind=2, size=2), named)
     else:
         proto = be(body, 0, 2)
         control = proto.isin(0xC021, 0x8021, 0x8057) & (length(body) >= 6)

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.bytes import checksum16, entropy
-from flowloom.operators import flows, frames, reassembly, rules, scores
+from flowloom.operators import appid, flows, frames, reassembly, rules, scores
+from flowloom.plans.quicpackets import quic_packet
 from flowloom.plans.linkframes import DOT11_SQL, FRAMES, dot11_roundtrip, link_roundtrip, link_sql
 from flowloom.plans.registry import classify
 from flowloom.plans.roundtrip import CASES, UDP_IN_IP, A, B, C, Q, W, ip, k, n8, n16, n32, raw, roundtrip, roundtrip_sql, s
@@ -330,6 +331,29 @@ def tcp_options(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", F.col("t.mss").cast("string").alias("mss"), F.col("t.window_scale").cast("string").alias("window_scale"), "t.sack_permitted", F.get("t.sack_blocks", F.lit(0))["left"].cast("string").alias("sack_left"), F.hex("t.payload").alias("payload"))
 
 
+def _only(*names: str) -> dict[str, bool]:
+    """A protocol configuration that leaves the named dissectors on."""
+    from flowloom.plans.registry import dissectors
+
+    return {d.key: d.name in names for d in dissectors()}
+
+
+_SUPPLIER_HOST = "'s' || s_suppkey || '.example.net'"
+
+
+@query(f"SELECT s_suppkey, {_SUPPLIER_HOST} AS sni, 'QUIC' AS l7_protocol, 'high' AS l7_confidence, 'vpn_proxy' AS category, 'Tunnel' AS app_name FROM supplier")
+def quic_names(spark, sf_dir):
+    """Sealed QUIC packets, opened, and the server name looked up in the rules."""
+
+    def sealed(batches):
+        for b in batches:
+            yield b.assign(payload=[quic_packet(h) for h in b["host"]])[["s_suppkey", "payload"]]
+
+    hosts = _table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("s"), F.col("s_suppkey"), F.lit(".example.net")).alias("host"))
+    rows = hosts.mapInPandas(sealed, "s_suppkey long, payload binary").select("s_suppkey", "payload", F.lit(443).alias("dst_port"), F.lit("UDP").alias("l4_proto"))
+    return appid.classify_flows(rows, rules.dedupe_rules(_rules(spark)), _only("QUIC")).select("s_suppkey", "sni", "l7_protocol", "l7_confidence", "category", "app_name")
+
+
 for _name in CASES:
     QUERIES[f"{_name}_roundtrip"] = roundtrip(_name)
     SQL[f"{_name}_roundtrip"] = roundtrip_sql(_name)

@@ -132,4 +132,4 @@ def dissect(df: DataFrame, payload: str = "payload", port: str = "dst_port", l4:
             one = field_map(x.fields(p, d, t))
             out = F.when(name == x.name, one) if out is None else out.when(name == x.name, one)
     walked = walk(name, F.when(name.isin(*WALKED), p), d)
-    return done.withColumn("__walked", walked).withColumn("fields", F.coalesce(out, F.col("__walked"))).drop("__walked")
+    return done.withColumn("__walked", walked).withColumn("fields", F.coalesce(*([] if out is None else [out]), F.col("__walked"))).drop("__walked")
