@@ -259,8 +259,9 @@ def links(prints: DataFrame, radius: int, words: list[str], apart: str | None =
             held += sizes[p]
     # tiles are in order of their counts, so those within the radius are neighbours: one row for each tile
     lows, highs = (np.array(x) for x in zip(*tile_pops, strict=True))
-    bounds = zip(range(len(lows)), np.searchsorted(highs, lows - radius).tolist(), (np.searchsorted(lows, highs + radius, side="right") - 1).tolist(), strict=True)
-    near = F.broadcast(spark.createDataFrame(list(bounds), "own int, first_other int, last_other int"))
+    bounds = {"own": np.arange(len(lows)), "first_other": np.searchsorted(highs, lows - radius), "last_other": np.searchsorted(lows, highs + radius, side="right") - 1}
+    # an Arrow table is read by the JVM; a list of rows would start Python workers of its own
+    near = F.broadcast(spark.createDataFrame(pa.table({k: pa.array(v, pa.int32()) for k, v in bounds.items()})))
     lookup = lambda values: F.array(*(F.lit(v) for v in values))
     by_pop = lambda values: F.get(lookup([values.get(p, 0) for p in range(64 * len(words) + 1)]), F.col("pop"))
     own = by_pop(first) + F.pmod(F.xxhash64("node"), by_pop(blocks)).cast("int")
