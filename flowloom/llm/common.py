@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 #: Text bytes that one vectorised step works on; temporaries are some 20 times as large.
 CHUNK_BYTES = 1 << 20
 
+#: Bytes of an Arrow batch that an executor hands to a Python worker; both hold it, once for each task.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -27,6 +31,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session have ``BATCH_BYTES`` or one row, unless it has a setting of its own.
+
+    Spark's default, 64 MB, takes a multiple of that outside the heap while
+    columns of text grow to it.  Results don't depend on batches.
+    """
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import chunks, drop_staged, stage, unused
+from flowloom.llm.common import chunks, drop_staged, small_batches, stage, unused
 
 #: ASCII digits and letters, and everything beyond ASCII, make words.
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -123,6 +123,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     Search tables take some 60 bytes for each byte of a block, and a block has
     ``block_bytes`` or one item; each further block is a pass of its own.
     """
+    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != "contaminated"] if keep else [doc_id]
     text_, hit_, items_, n_ = unused([*docs.columns, "contaminated"], "whole", "hit", "items", "n")
     kept = [F.col(f"`{c}`") for c in names]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloom.llm.common import chunks, unused
+from flowloom.llm.common import chunks, small_batches, unused
 
 UNDETERMINED = "und"
 
@@ -70,6 +70,7 @@ class LanguageModel:
         max_rows: about so many labelled rows are learned from; of more, a
         fixed pseudo-random share by a hash of the text is taken.
         """
+        small_batches(df.sparkSession)
         rows = df.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and text is not null")
         n = rows.count()
         if n > max_rows:
@@ -133,6 +134,7 @@ class LanguageModel:
 
     def predict(self, df: DataFrame, text: str = "text", *, lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
         """``df`` with the predicted language and its probability."""
+        small_batches(df.sparkSession)
         model = df.sparkSession.sparkContext.broadcast(self)
         keep = [f for f in df.schema.fields if f.name not in (lang_col, score_col)]
         schema = T.StructType([*keep, T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())])

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import chunks, int_column, partitions, stage
+from flowloom.llm.common import chunks, int_column, partitions, small_batches, stage
 
 CAPACITY = 2048
 END_ID = 0
@@ -273,6 +273,7 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
     tokenizer: path of a byte-level ``tokenizer.json``, there on every machine.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     salts = partitions(spark)
 
     def cut(batches):

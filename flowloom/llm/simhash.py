@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import SPACE, chunks, drop_staged, give_back, join_words, lower_ascii, mix64, partitions, stage, text_bytes, unused, with_members, without_members, word_spans
+from flowloom.llm.common import SPACE, chunks, drop_staged, give_back, join_words, lower_ascii, mix64, partitions, small_batches, stage, text_bytes, unused, with_members, without_members, word_spans
 
 SEED = 42
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -352,6 +352,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
     """Per document: doc_id, fp (64-bit fingerprint as a long) and component_id, the smallest doc_id reachable by links."""
+    small_batches(docs.sparkSession)
 
     def hashed(batches):
         for batch in chunks(batches, "text"):
@@ -472,6 +473,7 @@ def rare_pairs(body: DataFrame, nodes: DataFrame, shingle: int, similarity: floa
 
 def _similar(docs: DataFrame, doc_id: str, text: str, shingle: int, similarity: float, radius: int, wide_radius: int) -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, uid, node) and, for every node but the first of its group, (node, least); see ``similar_documents``."""
+    small_batches(docs.sparkSession)
 
     def hashed(batches):
         for batch in chunks(batches, "text"):
