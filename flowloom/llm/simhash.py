@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import SPACE, chunks, drop_staged, give_back, join_words, lower_ascii, mix64, partitions, small_batches, stage, text_bytes, unused, with_members, without_members, word_spans
+from flowloom.llm.common import SPACE, binary_array, chunks, drop_staged, give_back, join_words, lower_ascii, mix64, partitions, small_batches, stage, text_bytes, unused, with_members, without_members, word_spans
 
 SEED = 42
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -231,12 +231,8 @@ def tile_forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.nd
     return kept[0], kept[1]
 
 
-def links(prints: DataFrame, radius: int, words: list[str], apart: str | None = None) -> DataFrame:
-    """Edges (a, b) between values of ``node``, whose fingerprints are the columns ``words``.
-
-    They are a spanning forest for each pair of tiles; with ``apart``, all
-    pairs that differ in that column.
-    """
+def links(prints: DataFrame, radius: int, words: list[str]) -> DataFrame:
+    """Edges (a, b) between values of ``node``, whose fingerprints are the columns ``words``: a spanning forest for each pair of tiles."""
     spark = prints.sparkSession
     parts = partitions(spark)
     pop = sum((F.bit_count(w) for w in words[1:]), F.bit_count(words[0]))
@@ -266,32 +262,24 @@ def links(prints: DataFrame, radius: int, words: list[str], apart: str | None =
     by_pop = lambda values: F.get(lookup([values.get(p, 0) for p in range(64 * len(words) + 1)]), F.col("pop"))
     own = by_pop(first) + F.pmod(F.xxhash64("node"), by_pop(blocks)).cast("int")
     others = F.explode(F.sequence("first_other", "last_other"))
-    more = [apart] if apart else []
-    dealt = counted.withColumn("own", own).join(near, "own").select("node", *words, *more, "own", others.alias("other"))
-    dealt = dealt.select("node", *words, *more, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("second"))
+    dealt = counted.withColumn("own", own).join(near, "own").select("node", *words, "own", others.alias("other"))
+    dealt = dealt.select("node", *words, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("second"))
     dealt = dealt.withColumn("task", F.pmod(F.xxhash64("x", "y"), F.lit(parts)).cast("int"))
 
     def compare(batches):
         def done(key, sides):
-            tables = [np.concatenate(side) if side else np.zeros((0, 1 + len(words) + len(more)), np.int64) for side in sides]
-            a, b = (t[:, 1 : 1 + len(words)].view(np.uint64) for t in tables)
+            tables = [np.concatenate(side) if side else np.zeros((0, 1 + len(words)), np.int64) for side in sides]
+            a, b = (t[:, 1:].view(np.uint64) for t in tables)
             b = None if key[0] == key[1] else b
             ids = np.concatenate([t[:, 0] for t in tables])
-            if not apart:
-                yield tuple(ids[x] for x in tile_forest(a, b, radius))
-                return
-            label = np.concatenate([t[:, -1] for t in tables])
-            for i, j, _ in close_pairs(a, b, radius):
-                j = j + (0 if b is None else len(a))
-                differ = label[i] != label[j]
-                yield ids[i[differ]], ids[j[differ]]
+            yield tuple(ids[x] for x in tile_forest(a, b, radius))
 
         def all_done():
             sides: tuple[list, list] = ([], [])
             last = None
             for batch in batches:
                 x, y = batch.column("x").to_numpy(), batch.column("y").to_numpy()
-                rows = np.stack([batch.column(c).to_numpy() for c in ("node", *words, *more)], axis=1)
+                rows = np.stack([batch.column(c).to_numpy() for c in ("node", *words)], axis=1)
                 second = batch.column("second").to_numpy(zero_copy_only=False)
                 bounds = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]), [True]]))
                 for s, e in zip(bounds[:-1], bounds[1:], strict=True):
@@ -312,6 +300,147 @@ def links(prints: DataFrame, radius: int, words: list[str], apart: str | None =
     return dealt.repartitionById(parts, "task").sortWithinPartitions("x", "y").drop("task").mapInArrow(compare, "a long, b long")
 
 
+#: Members of a bucket of equal blocks in a tile at most, about.
+BUCKET = 1 << 13
+
+
+def whole_groups(batches, columns: list[str], keys: int):
+    """Rows (numbers of ``columns``; and the other columns of the batch, as arrays) of sorted batches, cut where the first ``keys`` columns change."""
+    left = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns], axis=1)
+        rest = pa.Table.from_batches([batch.drop_columns(columns)])
+        if left is not None:
+            rows, rest = np.concatenate([left[0], rows]), pa.concat_tables([left[1], rest])
+        # the last group may go on in the next batch
+        other = np.flatnonzero((rows[:, :keys] != rows[-1, :keys]).any(axis=1))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            yield rows[:cut], rest.slice(0, cut)
+        left = rows[cut:], rest.slice(cut)
+    if left is not None and len(left[0]):
+        yield left
+
+
+def later_rows(after: np.ndarray, last: np.ndarray, limit: int):
+    """Blocks (i, j) of each row i with all rows from ``after[i]`` to before ``last[i]``, of some ``limit`` pairs each."""
+    number = last - after
+    done = np.cumsum(number)
+    at = 0
+    while at < len(after):
+        to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + limit, side="right")))
+        n = number[at:to]
+        if n.any():
+            yield np.repeat(np.arange(at, to), n), np.repeat(after[at:to] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        at = to
+
+
+def group_ends(rows: np.ndarray, columns: int) -> np.ndarray:
+    """For each row, where its run of equal first columns ends."""
+    start = np.flatnonzero(np.concatenate([[True], (rows[1:, :columns] != rows[:-1, :columns]).any(axis=1)]))
+    end = np.append(start[1:], len(rows))
+    return np.repeat(end, end - start)
+
+
+def block_links(prints: DataFrame, radius: int, words: list[str]) -> DataFrame:
+    """Edges (a, b) between values of ``node`` whose fingerprints, the columns ``words``, are within the radius and equal in a block of 16 bits.
+
+    Every pair that differs in fewer bits than there are blocks is equal in one,
+    of more distant ones a share; what is missed is for a later step to find.
+    Nodes meet in buckets, one for each block and its value, so comparisons are
+    one in 65,536 of all pairs for each block.  A large bucket is dealt into pairs of tiles.
+    Each gives a spanning forest of its links, by least distance.
+    """
+    parts = partitions(prints.sparkSession)
+    blocks = F.array(*(F.shiftright(w, 16 * k).bitwiseAND(F.lit(0xFFFF)) for w in words for k in range(4)))
+    rows = prints.select("node", *words, F.posexplode(blocks).alias("block", "value")).select("node", *words, (F.col("block") * 65536 + F.col("value")).cast("int").alias("bucket"))
+    large = stage(rows.groupBy("bucket").count().where(F.col("count") > BUCKET).select("bucket", F.ceil(F.col("count") / BUCKET).cast("int").alias("tiles")))
+    dealt = rows.join(F.broadcast(large), "bucket", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    own, other = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    dealt = dealt.select("bucket", "node", *words, own.alias("own"), other.alias("other"))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("second"), "node", *words)
+
+    def compare(batches):
+        for rows, _ in whole_groups(batches, ["bucket", "x", "y", "second", "node", *words], 3):
+            bits = rows[:, 5:].view(np.uint64)
+            last, side = group_ends(rows, 3), group_ends(rows, 4)
+            # inside a tile each row meets the later ones, between two those of the first side meet the second
+            across = rows[:, 1] != rows[:, 2]
+            after = np.where(across, side, np.arange(len(rows)) + 1)
+            kept = np.zeros((3, 0), np.int64)
+
+            def forest(kept):
+                kept = kept[:, np.lexsort((rows[kept[1], 4], rows[kept[0], 4], kept[2]))]
+                joined, edges = Forest(len(rows)), []
+                for level in np.unique(kept[2]):
+                    before = len(joined.edges)
+                    joined.join(*kept[:2, kept[2] == level])
+                    edges += [(a, b, int(level)) for a, b in joined.edges[before:]]
+                return np.array(edges, dtype=np.int64).reshape(-1, 3).T
+
+            for i, j in later_rows(after, last, _AT_ONCE):
+                d = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+                near = d <= radius
+                kept = np.concatenate([kept, np.stack([i[near], j[near], d[near]])], axis=1)
+                if kept.shape[1] > _AT_ONCE:
+                    kept = forest(kept)
+            a, b, _ = forest(kept)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[a, 4]), pa.array(rows[b, 4])], names=["a", "b"])
+        give_back()
+
+    held = dealt.repartition(parts, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "second")
+    found = held.mapInArrow(compare, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+
+
+#: Bits of a sketch, at least and at most; between, twice the number of shingles or more.
+SKETCH = (128, 1 << 14)
+
+
+def sketch_bits(count: np.ndarray) -> np.ndarray:
+    return np.clip(1 << np.ceil(np.log2(np.maximum(2 * count, 1))).astype(np.int64), *SKETCH)
+
+
+def sketches(h: np.ndarray, count: np.ndarray) -> pa.Array:
+    """Of each row's different hashes, a sketch: of every bit, whether an odd number of hashes fall on it.
+
+    Two sketches differ in as many bits as their sets have elements that the
+    other lacks, at most.  Halves put together by exclusive-or are the sketch of half as many bits.
+    """
+    bits = sketch_bits(count)
+    offsets = np.concatenate([[0], np.cumsum(bits >> 6)])
+    own = np.repeat(np.arange(len(count)), count)
+    at = (mix64(h) & (bits[own] - 1).astype(np.uint64)).astype(np.int64)
+    words = np.zeros(offsets[-1], np.uint64)
+    np.bitwise_xor.at(words, offsets[own] + (at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    return binary_array(words.view(np.uint8), offsets * 8)
+
+
+def within(sketch: pa.Array, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Of the pairs (i, j) of rows, whether their sketches differ in ``most`` bits or fewer, as sets that differ in no more do."""
+    data, offsets = text_bytes(sketch)
+    data, offsets = np.ascontiguousarray(data).view(np.uint64), offsets // 8
+    size = np.diff(offsets)
+    narrow = np.minimum(size[i], size[j])
+    ok = np.zeros(len(i), bool)
+    for n in np.unique(narrow):
+        pairs = np.flatnonzero(narrow == n)
+        rows, at = np.unique(np.concatenate([i[pairs], j[pairs]]), return_inverse=True)
+        table = np.zeros((len(rows), n), np.uint64)
+        for wide in np.unique(size[rows]):
+            own = np.flatnonzero(size[rows] == wide)
+            for part in range(0, wide, n):
+                table[own] ^= data[offsets[rows[own]][:, None] + part + np.arange(n)]
+        x, y = at[: len(pairs)], at[len(pairs) :]
+        step = max(1, _AT_ONCE // n)
+        for s in range(0, len(pairs), step):
+            d = np.bitwise_count(table[x[s : s + step]] ^ table[y[s : s + step]]).sum(axis=1, dtype=np.int64)
+            ok[pairs[s : s + step]] = d <= most[pairs[s : s + step]]
+    return ok
+
+
 #: Shares into which the rows of one node are dealt in a join.
 SALTS = 8
 
@@ -372,6 +501,25 @@ def _named(prints: DataFrame, classes: DataFrame, joined: DataFrame, node: str)
     return prints.join(rooted.join(roots, "root").select(F.col("node").alias(node), "component_id"), node)
 
 
+def group_pairs(batches, similarity: float):
+    """Pairs of nodes of different parts and one key, among rows (key, part, node, size, sketch) in that order, that by size and sketch may be similar."""
+    for rows, more in whole_groups(batches, ["key", "part", "node", "size"], 1):
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:, :3] != rows[:-1, :3]).any(axis=1)
+        rows, sketch = rows[new], more.column("sketch").combine_chunks().filter(pa.array(new))
+        for i, j in later_rows(group_ends(rows, 2), group_ends(rows, 1), _AT_ONCE // 4):
+            x, y = rows[i, 3], rows[j, 3]
+            near = np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-6
+            i, j, x, y = i[near], j[near], x[near], y[near]
+            near = within(sketch, i, j, x + y - 2 * np.ceil(similarity / (1 + similarity) * (x + y) - 1e-6).astype(np.int64))
+            i, j = i[near], j[near]
+            swap = rows[i, 2] > rows[j, 2]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (rows[i, 2], rows[j, 2], rows[i, 3], rows[j, 3])], names=["a", "b", "na", "nb"])
+    give_back()
+
+
 def rare_pairs(body: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Pairs (a, b) of nodes in different parts: all with a Jaccard ``similarity`` or more, and some others.
 
@@ -381,8 +529,9 @@ def rare_pairs(body: DataFrame, nodes: DataFrame, shingle: int, similarity: floa
     enough, so the two have one among the first n - similarity * n + 1 of each, in
     whatever order all texts keep to.  The order is by frequency in a sample,
     rare ones first, and then by hash: the sample bears on speed only.  Of the pairs
-    found those go whose sizes differ too much, or that share so few of their first
-    shingles that the others can't make up for it.
+    of a group with one such shingle those go, before they leave it, whose sizes differ too much or whose
+    sketches differ in more bits than similar sets can have elements apart; then
+    those that share so few of their first shingles that the others can't make up for it.
     """
     spark = body.sparkSession
     total = nodes.agg(F.sum("size")).first()[0] or 0
@@ -411,67 +560,22 @@ def rare_pairs(body: DataFrame, nodes: DataFrame, shingle: int, similarity: floa
             at = np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count)
             keys = h[order][at < taken[own]].view(np.int64)
             keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(taken)]).astype(np.int32)), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), keys], names=["uid", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), keys, sketches(h, count)], names=["uid", "keys", "sketch"])
 
-    first = texts.mapInArrow(first_ones, "uid long, keys array<long>").join(nodes, "uid")
-    first = stage(first.select("node", "part", "size", "keys")).select("node", "part", "size", F.explode("keys").alias("key"))
+    first = texts.mapInArrow(first_ones, "uid long, keys array<long>, sketch binary").join(nodes, "uid")
+    first = stage(first.select("node", "part", "size", "sketch", "keys")).select("node", "part", "size", "sketch", F.explode("keys").alias("key"))
     # only shingles that are in several parts are shuffled
     key = F.col("key")
     shared = stage(first.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key"))
     held = with_members(first, key, shared, key).repartition(partitions(spark), "key").sortWithinPartitions("key", "part", "node")
 
-    def apart(rows):
-        """Pairs of rows (key, part, node, size), sorted, with one key and different parts."""
-        if not len(rows):
-            return
-        new = np.ones(len(rows), bool)
-        new[1:] = (rows[1:, :3] != rows[:-1, :3]).any(axis=1)
-        rows = rows[new]
-
-        def ends(columns):
-            start = np.flatnonzero(np.concatenate([[True], (rows[1:, :columns] != rows[:-1, :columns]).any(axis=1)]))
-            end = np.append(start[1:], len(rows))
-            return np.repeat(end, end - start)
-
-        after, last = ends(2), ends(1)
-        number = last - after
-        done = np.cumsum(number)
-        at = 0
-        while at < len(rows):
-            to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + _AT_ONCE // 4, side="right")))
-            n = number[at:to]
-            i = np.repeat(np.arange(at, to), n)
-            j = np.repeat(after[at:to] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            x, y = rows[i, 3], rows[j, 3]
-            near = np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-6
-            i, j = i[near], j[near]
-            swap = rows[i, 2] > rows[j, 2]
-            i, j = np.where(swap, j, i), np.where(swap, i, j)
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (rows[i, 2], rows[j, 2], rows[i, 3], rows[j, 3])], names=["a", "b", "na", "nb"])
-            at = to
-
-    def pairs(batches):
-        left = np.zeros((0, 4), np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.concatenate([left, np.stack([batch.column(c).to_numpy() for c in ("key", "part", "node", "size")], axis=1)])
-            # the last key may go on in the next batch
-            other = np.flatnonzero(rows[:, 0] != rows[-1, 0])
-            cut = int(other[-1]) + 1 if len(other) else 0
-            yield from apart(rows[:cut])
-            left = rows[cut:]
-        yield from apart(left)
-        give_back()
-
-    found = held.select("key", "part", "node", "size").mapInArrow(pairs, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").count()
+    found = held.select("key", "part", "node", "size", "sketch").mapInArrow(lambda batches: group_pairs(batches, similarity), "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").count()
     rest = lambda n: F.ceil(similarity * F.col(n) - 1e-6) - 1
     needed = F.ceil(similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6)
     return found.where(F.col("count") + F.greatest(rest("na"), rest("nb")) >= needed).select("a", "b")
 
 
-def _similar(docs: DataFrame, doc_id: str, text: str, shingle: int, similarity: float, radius: int, wide_radius: int) -> tuple[DataFrame, DataFrame]:
+def _similar(docs: DataFrame, doc_id: str, text: str, shingle: int, similarity: float, radius: int) -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, uid, node) and, for every node but the first of its group, (node, least); see ``similar_documents``."""
     small_batches(docs.sparkSession)
 
@@ -519,35 +623,16 @@ def _similar(docs: DataFrame, doc_id: str, text: str, shingle: int, similarity:
         joined = components(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
         return stage(parts.join(joined.withColumnRenamed("node", "part"), "part", "left").select("node", "size", F.coalesce("least", "part").alias("part")))
 
-    proposed = verify(links(nodes, radius, ["f0", "f1"]))
+    proposed = verify(block_links(nodes, radius, ["f0", "f1"]))
     joined = components(proposed.where("ok").select("a", "b"))
     parts = stage(nodes.join(joined, "node", "left").select("node", "size", F.coalesce("least", "node").alias("part")))
-    refuted = proposed.where("not ok").select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # parts of a group that a refuted edge was to join; each has an end of such an edge
-    torn = parts.join(refuted, "node", "left_semi").select("part").distinct()
-    open_nodes = stage(parts.join(torn, "part", "left_semi").select(F.col("node").alias("uid"), "part"))
-    if not open_nodes.isEmpty():
-        # fingerprints of 1,024 bits, which tell near the threshold from far below it, for these few
-        words = [f"w{k}" for k in range(16)]
-
-        def widened(batches):
-            for batch in chunks(batches, "text"):
-                h, count, _ = shingle_hashes(batch.column("text"), shingle)
-                h, count = distinct_hashes(h, count)
-                wide = [majority(mix64(h + np.uint64(k)), count).view(np.int64) for k in range(16)]
-                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("part"), *map(pa.array, wide)], names=["node", "part", *words])
-
-        texts = with_members(body.select("uid", "text"), uid, open_nodes, uid).join(open_nodes, "uid").select(F.col("uid").alias("node"), "part", "text")
-        wide = stage(texts.mapInArrow(widened, ", ".join(f"{c} long" for c in ("node", "part", *words))).dropDuplicates(["node"]))
-        parts = merged(parts, verify(links(wide, wide_radius, words, apart="part")).where("ok").select("a", "b"))
-        drop_staged(wide)
     extra = verify(rare_pairs(body, parts.withColumn("uid", F.col("node")), shingle, similarity)).where("ok").select("a", "b")
     if not extra.isEmpty():
         parts = merged(parts, extra)
     return prints.join(nodes.select("c1", "c2", "node"), ["c1", "c2"]).select("doc_id", "uid", "node"), parts.where("node <> part").select("node", F.col("part").alias("least"))
 
 
-def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 28, wide_radius: int = 184) -> DataFrame:
+def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 28) -> DataFrame:
     """Per document: doc_id, uid (a hash of id and text), component_id and first, by links of Jaccard ``similarity`` or more over sets of word shingles.
 
     component_id is the smallest doc_id of a group; first says of one row of
@@ -555,18 +640,14 @@ def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     that it stands for it.  Rows that are equal in id and text are one to this
     operator: all have the same answers.
 
-    Fingerprints of 128 bits over the different shingles of a text, compared in
-    tiles, propose pairs, of long texts nearly all: at a similarity of 0.8 they differ in 19 bits on average and in 28 or fewer in 98 of 100
-    cases, which among unrelated texts happens once in ten thousand million pairs.  The
-    shingles of each proposed pair are then compared.  First a spanning forest
-    by least distance is proposed.  Where an edge of it is refuted, the other pairs
-    between the parts of its group are proposed by fingerprints of 1,024 bits, of
-    which such pairs differ in 155 on average and in 184 or fewer in 99 of 100
-    cases.  (Both radii go with a similarity of 0.8.)  What is then left between
+    Fingerprints of 128 bits over the different shingles of a text propose
+    pairs (``block_links``): at a similarity of 0.8 they differ in 19 bits on average, and
+    within 28 bits two unrelated ones are once in ten thousand million pairs.  (The radius goes with a similarity of 0.8.)  The
+    shingles of each proposed pair are then compared.  What is left between
     different components is proposed by ``rare_pairs``, which misses none, so the
     components are exact.
     """
-    rows, joined = _similar(docs, doc_id, text, shingle, similarity, radius, wide_radius)
+    rows, joined = _similar(docs, doc_id, text, shingle, similarity, radius)
     # nodes are few beside rows that share one: the group's name is worked out by node, and a node's rows meet it last
     own = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("own")
     firsts = rows.groupBy("node").agg(own).join(joined, "node", "left").select("node", "own", F.coalesce("least", "node").alias("root"))

@@ -6,11 +6,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from flowloom.llm import chat
+from flowloom.llm import chat, simhash
 from flowloom.llm.decontaminate import decontaminate
 from flowloom.llm.hamming import sign_codes, top_k
 from flowloom.llm.language import LanguageModel, held_out
@@ -100,6 +101,60 @@ def test_similar_documents_are_verified(spark):
     assert got == {0: (0,), 1: (0,), 2: (2,), 3: (3,), 4: (3,)}
 
 
+def test_pairs_of_a_large_group_leave_it_only_if_similar():
+    """Texts of one passage and some words of their own: of their 19,900 pairs those that can't be similar stay inside."""
+    rng = np.random.default_rng(5)
+    passage = rng.integers(0, 1 << 63, 160, dtype=np.uint64)
+    own = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in [60] * 198 + [1200, 10]]
+    sets = [np.unique(np.concatenate([passage, x])) for x in own]
+    sets[7] = np.unique(np.concatenate([sets[3][:-20], rng.integers(0, 1 << 63, 18, dtype=np.uint64)]))
+    count = np.array([len(x) for x in sets])
+    sketch = simhash.sketches(np.concatenate(sets), count)
+    columns = [[1] * 200, range(200), range(200), count]
+    batch = pa.RecordBatch.from_arrays([*(pa.array(list(c), pa.int64()) for c in columns), sketch], names=["key", "part", "node", "size", "sketch"])
+    # a group goes on over batches
+    got = [(a, b) for out in simhash.group_pairs([batch.slice(0, 50), batch.slice(50)], 0.8) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)]
+    similar = {(i, j) for i in range(200) for j in range(i + 1, 200) if len(both := np.intersect1d(sets[i], sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - len(both))}
+    assert similar and similar <= set(got)
+    assert len(got) < 100
+
+
+def test_sketches_bound_differences():
+    """Of sets of every size: no pair that is similar is refuted, sketches of other widths too."""
+    rng = np.random.default_rng(6)
+    sets = []
+    for n in (0, 1, 5, 63, 64, 65, 300, 511, 513, 3000, 20000):
+        one = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        sets += [one, one[: len(one) - len(one) // 9], np.unique(np.concatenate([one, rng.integers(0, 1 << 63, n // 9, dtype=np.uint64)])), np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))]
+    sketch = simhash.sketches(np.concatenate(sets), np.array([len(x) for x in sets]))
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    apart = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    assert simhash.within(sketch, i, j, apart).all()
+    unrelated = [(k, k + 3) for k in range(12, len(sets), 4)]
+    sizes = np.array([len(sets[a]) for a, _ in unrelated])
+    assert not simhash.within(sketch, *np.array(unrelated).T, sizes * 2 // 9).any()
+
+
+def test_block_links_find_all_of_a_few_bits(spark, monkeypatch):
+    """A bucket of very many is dealt into tiles; of 7 bits or fewer none is missed, and no edge is longer than the radius."""
+    monkeypatch.setattr(simhash, "BUCKET", 16)
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, (60, 2), dtype=np.uint64)
+    near = base.copy()
+    for row in near:
+        for bit in rng.choice(128, 7, replace=False):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    same = rng.integers(0, 1 << 63, (100, 2), dtype=np.uint64)
+    same[:, 0] = same[:, 0] >> np.uint64(16) << np.uint64(16)
+    x = np.concatenate([base, near, same]).view(np.int64)
+    prints = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(x)], "node long, f0 long, f1 long")
+    got = {(r["a"], r["b"]) for r in simhash.block_links(prints, 28, ["f0", "f1"]).collect()}
+    assert {(i, i + 60) for i in range(60)} <= got
+    far = lambda a, b: int(np.bitwise_count(x[a].view(np.uint64) ^ x[b].view(np.uint64)).sum())
+    assert all(a < b and far(a, b) <= 28 for a, b in got)
+    assert simhash.block_links(prints.limit(0), 28, ["f0", "f1"]).count() == 0
+
+
 def brute_groups(texts, n=5, similarity=0.8):
     sets = []
     for t in texts:
