@@ -96,6 +96,8 @@ def field_map(fields: dict[str, Column]) -> Column:
     """A map without the fields that are null; ``*`` is a map of further ones."""
     more = fields.get("*")
     if more is not None:
+        if len(fields) == 1:
+            return F.coalesce(more, F.create_map().cast(FIELDS))
         rest = field_map({k: v for k, v in fields.items() if k != "*"})
         # of a key in both, the further one counts
         return bind(F.coalesce(more, F.create_map().cast(FIELDS)), lambda m: F.map_concat(F.map_filter(rest, lambda k, v: ~F.map_contains_key(m, k)), m))

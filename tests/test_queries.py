@@ -77,7 +77,7 @@ def test_line_items_of_one_number_are_all_segments(spark, tmp_path):
         assert sorted(tuple(r) for r in got.collect()) == sorted(rows), name
 
 
-@pytest.mark.parametrize(("name", "costly"), [("dot11_frame", "unhex("), ("tcp_options", "unhex(")])
+@pytest.mark.parametrize(("name", "costly"), [("dot11_frame", "unhex("), ("tcp_options", "unhex("), ("smtp_roundtrip", "split(")])
 def test_payload_is_worked_out_once(spark, name, costly):
     """Inside a lambda an expression that is written twice is evaluated twice, so the plan has it once."""
     plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
