@@ -433,6 +433,17 @@ def test_suffixes(spark, keep_first):
     assert dedup_suffixes(docs(spark, TEXTS).limit(0)).count() == 0
 
 
+def test_pairs_of_tiles_of_one_hash_are_sorted_apart(spark, monkeypatch):
+    """A segment goes to several pairs of tiles, and must not be taken for a repeat of itself."""
+    monkeypatch.setattr("flowloom.llm.suffixes.TILE", 2)
+    shared, twice = " ".join(words(60, 50))[:300], " ".join(words(61, 60))[:200]
+    texts = [" ".join(words(100 + i, 60)) + shared + (twice if i in (3, 20) else "") + f"{i} " + " ".join(words(200 + i, 60)) for i in range(24)]
+    got = by_id(dedup_suffixes(docs(spark, texts), keep_first=False), "spans")
+    gone = {i: [tuple(x) for x in s[0] or []] for i, s in got.items() if s[0]}
+    at = {i: (texts[i].index(shared), texts[i].index(twice) + len(twice)) for i in (3, 20)}
+    assert gone == {i: [at[i]] for i in at}
+
+
 # --- search
 
 
