@@ -119,19 +119,29 @@ def fillings(room: int, counts: np.ndarray, most_waste: int):
     sizes = [int(s) for s in np.flatnonzero(counts)[::-1] if s <= room]
     sums = reachable(sizes, counts, room)
 
-    def exact(at: int, left: int):
-        if not left:
-            yield []
-            return
-        s = sizes[at]
-        for n in range(min(int(counts[s]), left // s), -1, -1):
-            if sums[at + 1] >> left - n * s & 1:
-                for rest in exact(at + 1, left - n * s):
-                    yield [s] * n + rest
+    def exact(left: int):
+        # walked with a list, not by recursion: there may be more sizes to pass over than Python has frames
+        taken: list[tuple[int, int]] = []  # place of a size and how many of it, where there are any
+        at, most = 0, left
+        while True:
+            while left:
+                s = sizes[at]
+                n = next((n for n in range(min(int(counts[s]), left // s, most), -1, -1) if sums[at + 1] >> left - n * s & 1), None)
+                if n is None:
+                    break
+                if n:
+                    taken.append((at, n))
+                at, left, most = at + 1, left - n * s, room
+            else:
+                yield [sizes[k] for k, n in taken for _ in range(n)]
+            if not taken:
+                return
+            at, n = taken.pop()
+            left, most = left + n * sizes[at], n - 1
 
     for waste in range(min(most_waste, room) + 1):
         if sums[0] >> room - waste & 1:
-            yield from exact(0, room - waste)
+            yield from exact(room - waste)
 
 
 def best_filling(room: int, counts: np.ndarray) -> list[int]:

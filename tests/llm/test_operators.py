@@ -1,6 +1,7 @@
 """Each operator against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -16,7 +17,7 @@ from flowloom.llm.decontaminate import decontaminate
 from flowloom.llm.hamming import sign_codes, top_k
 from flowloom.llm.language import LanguageModel, held_out
 from flowloom.llm.lines import dedup_lines
-from flowloom.llm.packing import best_filling, lower_bound, pack, pieces, plan, tokens
+from flowloom.llm.packing import best_filling, fillings, lower_bound, pack, pieces, plan, tokens
 from flowloom.llm.passages import dedup_passages
 from flowloom.llm.pii import pseudonymise
 from flowloom.llm.simhash import fingerprints, near_duplicates, similar_documents, tile_forest, xxh64_spans
@@ -345,6 +346,29 @@ def test_filling_beats_best_fit():
     assert sorted(best_filling(10, counts)) == [5, 5]  # best fit takes 6 and wastes 4
 
 
+def test_filling_may_pass_over_more_sizes_than_python_has_frames():
+    counts = np.zeros(1029, int)
+    counts[10:1021] = 1
+    assert best_filling(1028, counts) == [1018, 10]  # best fit takes 1020 and finds no 8
+    lengths = np.clip(np.exp(np.random.default_rng(1).normal(6, 1.3, 300_000)), 2, 2048).astype(int)
+    out, proved = plan(np.bincount(lengths, minlength=2049))
+    used = np.zeros(2049, int)
+    for filling, times in out:
+        assert sum(filling) <= 2048
+        np.add.at(used, filling, times)
+    assert (used == np.bincount(lengths, minlength=2049)).all() and proved
+
+
+def test_fillings_are_all_there_are_in_order():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        room = int(rng.integers(0, 14))
+        counts = rng.integers(0, 4, 15) * (np.arange(15) > 0)
+        some = [f for n in range(room + 1) for f in itertools.combinations_with_replacement(range(14, 0, -1), n) if sum(f) <= room and all(f.count(s) <= counts[s] for s in f)]
+        want = sorted(some, key=lambda f: (room - sum(f), [-s for s in f]))
+        assert [tuple(f) for f in fillings(room, counts, room)] == want
+
+
 def test_pack(spark):
     got = pack(docs(spark, [*TEXTS, *TEXTS]), PATH).collect()
     placed = {}
